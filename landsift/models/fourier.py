@@ -1,0 +1,49 @@
+"""Random Fourier features: an RBF kernel as a plain column transform."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Transformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Maps x to sqrt(2/D) cos(Wx + b); inner products approach exp(-gamma |x-y|^2).
+
+    W and b follow from the seed alone, so saving the parameters saves the model.
+    """
+
+    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
+    size = Param(Params._dummy(), "size", "number of output features", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the projection", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None,
+                 gamma: float = 0.1, size: int = 512, seed: int = 42):
+        super().__init__()
+        self._setDefault(gamma=0.1, size=512, seed=42)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        gamma, size = self.getOrDefault(self.gamma), self.getOrDefault(self.size)
+        seed = self.getOrDefault(self.seed)
+
+        @F.pandas_udf("array<double>")
+        def project(rows: pd.Series) -> pd.Series:
+            if rows.empty:
+                return pd.Series([], dtype=object)
+            x = np.stack(rows.to_numpy())
+            draw = np.random.default_rng(seed)
+            weights = draw.normal(0.0, np.sqrt(2 * gamma), (x.shape[1], size))
+            offset = draw.uniform(0.0, 2 * np.pi, size)
+            return pd.Series(list(np.sqrt(2 / size) * np.cos(x @ weights + offset)))
+
+        mapped = project(vector_to_array(F.col(self.getInputCol())))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped))
