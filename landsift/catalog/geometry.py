@@ -15,12 +15,12 @@ from landsift.sources import tables
 _POSITION = r"\[\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*,\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
 VIEWS["parsed"] = (("geojson",), f"""
     SELECT aoi_id, geometry, json_extract_string(geometry, '$.type') AS kind,
-    list_transform(regexp_extract_all(CAST(json_extract(geometry, '$.coordinates') AS VARCHAR), '{_POSITION}', 1), v -> CAST(v AS DOUBLE)) AS lons,
-    list_transform(regexp_extract_all(CAST(json_extract(geometry, '$.coordinates') AS VARCHAR), '{_POSITION}', 2), v -> CAST(v AS DOUBLE)) AS lats
+    CAST(regexp_extract_all(CAST(json_extract(geometry, '$.coordinates') AS VARCHAR), '{_POSITION}', 1) AS DOUBLE[]) AS lons,
+    CAST(regexp_extract_all(CAST(json_extract(geometry, '$.coordinates') AS VARCHAR), '{_POSITION}', 2) AS DOUBLE[]) AS lats
     FROM (SELECT aoi_id, CASE WHEN json_extract_string(g, '$.type') IN ('Polygon', 'MultiPolygon') THEN g END AS geometry FROM (
     SELECT aoi_id, CASE json_extract_string(document, '$.type')
     WHEN 'FeatureCollection' THEN list_filter(json_extract(document, '$.features[*].geometry'),
-    f -> json_extract_string(f, '$.type') IN ('Polygon', 'MultiPolygon'))[1]
+    lambda f: json_extract_string(f, '$.type') IN ('Polygon', 'MultiPolygon'))[1]
     WHEN 'Feature' THEN json_extract(document, '$.geometry') ELSE CAST(document AS JSON) END AS g FROM geojson) a) b""")
 VIEWS["aoi_boxes"] = (("parsed",), """
     SELECT aoi_id, list_min(lons) AS west, list_min(lats) AS south, list_max(lons) AS east, list_max(lats) AS north
