@@ -249,7 +249,7 @@ def round_sql(columns: list[str], digits: int = 6) -> str:
 
 def archive(spark: SparkSession, sf_dir: str) -> Archive:
     return Archive(
-        fx.scenes(spark, sf_dir), fx.observations(spark, sf_dir), (fx.ORIGIN_LON, fx.ORIGIN_LAT), fx.PIXEL_DEG, fx.FALLBACK
+        fx.scenes(spark, sf_dir), fx.observations(spark, sf_dir), (fx.ORIGIN_LON, fx.ORIGIN_LAT), fx.PIXEL_DEG, fx.FALLBACK, fx.TILE
     )
 
 

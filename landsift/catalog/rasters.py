@@ -145,8 +145,8 @@ def radar_composite(spark, d):
     ("composite", "radar_composite"))
 def optical_radar_stack(spark, d):
     bands = [*S.OPTICAL_BANDS, *S.RADAR_BANDS]
-    stack = C.stacked_composite(_optical(spark, d), _radar(spark, d))
-    return rounded(N.own_cells(stack).select("x", "y", *bands), bands)
+    stack = C.stacked_composite(_optical(spark, d), _radar(spark, d), size=fx.TILE)
+    return rounded(N.own_cells(stack, fx.TILE).select("x", "y", *bands), bands)
 
 
 @query("joined_composites", f"""
@@ -161,7 +161,7 @@ def joined_composites(spark, d):
     SELECT x, y, round(B8, 6) AS B8, CAST(NULL AS DOUBLE) AS VV, CAST(NULL AS DOUBLE) AS VH FROM composite""", ("composite",))
 def masked_radar_stand_in(spark, d):
     empty = SC.radar_pixels(fx.observations(spark, d), SC.radar_scenes(fx.scenes(spark, d), *fx.EMPTY_WINDOW))
-    stack = N.own_cells(C.stacked_composite(_optical(spark, d), empty))
+    stack = N.own_cells(C.stacked_composite(_optical(spark, d), empty, size=fx.TILE), fx.TILE)
     return rounded(stack.select("x", "y", "B8", "VV", "VH"), ["B8", "VV", "VH"])
 
 
@@ -183,7 +183,7 @@ def true_colour(spark, d):
 @query("grey_levels", """
     SELECT x, y, g.v AS g, s.v AS s FROM grey_g g JOIN grey_s s USING (x, y)""", ("grey_g", "grey_s"))
 def grey_levels(spark, d):
-    stack = N.own_cells(C.stacked_composite(_dense(spark, d), _dense_radar(spark, d)))
+    stack = N.own_cells(C.stacked_composite(_dense(spark, d), _dense_radar(spark, d), size=fx.TILE), fx.TILE)
     return stack.filter("VV IS NOT NULL OR VH IS NOT NULL").select("x", "y", X.optical_grey().alias("g"), X.radar_grey().alias("s"))
 
 
@@ -197,14 +197,14 @@ _TEXTURES = [f"g_{n}" for n in C.OPTICAL_TEXTURES]
     ("texture_g",))
 def optical_texture(spark, d):
     image = C.median_composite(_dense(spark, d), ["B8"]).withColumn("grey", X.optical_grey())
-    return rounded(N.texture(image, "grey", "g"), _TEXTURES, 10)
+    return rounded(N.texture(image, "grey", "g", size=fx.TILE), _TEXTURES, 10)
 
 
 @query("radar_texture", f"""
     SELECT x, y, {round_sql(["s_contrast", "s_var", "s_ent"], 10)} FROM grey_s LEFT JOIN texture_s USING (x, y)""", ("texture_s",))
 def radar_texture(spark, d):
     image = C.median_composite(_dense_radar(spark, d), ["VV"]).withColumn("grey", X.radar_grey())
-    return rounded(N.texture(image, "grey", "s", C.RADAR_TEXTURES), ["s_contrast", "s_var", "s_ent"], 10)
+    return rounded(N.texture(image, "grey", "s", C.RADAR_TEXTURES, fx.TILE), ["s_contrast", "s_var", "s_ent"], 10)
 
 
 def _scaled(name: str) -> str:
@@ -220,7 +220,7 @@ def _scaled(name: str) -> str:
     FROM dense_indices LEFT JOIN dense_radar USING (x, y) LEFT JOIN texture_g USING (x, y) LEFT JOIN texture_s USING (x, y)) f""",
     ("dense_indices", "dense_radar", "texture_g", "texture_s"))
 def feature_stack(spark, d):
-    return rounded(C.feature_stack(_dense(spark, d), _dense_radar(spark, d), S.FULL_BANDS), S.FULL_BANDS)
+    return rounded(C.feature_stack(_dense(spark, d), _dense_radar(spark, d), S.FULL_BANDS, fx.TILE), S.FULL_BANDS)
 
 
 @query("band_saturation", "SELECT band, round(avg(hit), 6) AS saturated, count(hit) AS n FROM (" + " UNION ALL ".join(
@@ -230,8 +230,8 @@ def band_saturation(spark, d):
     ranges = {b: r for b, r in S.FEATURE_RANGES.items() if b[:2] in ("g_", "s_")}
     optical = C.median_composite(_dense(spark, d), ["B8"]).withColumn("grey", X.optical_grey())
     radar = C.median_composite(_dense_radar(spark, d), ["VV"]).withColumn("grey", X.radar_grey())
-    g = N.texture(optical, "grey", "g", ["contrast", "ent", "var", "diss"])
-    s = N.texture(radar, "grey", "s", C.RADAR_TEXTURES)
+    g = N.texture(optical, "grey", "g", ["contrast", "ent", "var", "diss"], fx.TILE)
+    s = N.texture(radar, "grey", "s", C.RADAR_TEXTURES, fx.TILE)
     raw = g.unionByName(s, allowMissingColumns=True)
     return rounded(quality.saturation(raw, ranges), ["saturated"])
 
@@ -246,12 +246,12 @@ _FOCAL = """
 
 @query("focal_mode", _FOCAL, ("class_map",))
 def focal_mode(spark, d):
-    return N.focal_mode(fx.class_map(spark, d), "classification", labels=S.CLASS_IDS)
+    return N.focal_mode(fx.class_map(spark, d), "classification", labels=S.CLASS_IDS, size=fx.TILE)
 
 
 @query("focal_mode_any_labels", _FOCAL, ("class_map",))
 def focal_mode_any_labels(spark, d):
-    return N.focal_mode(fx.class_map(spark, d), "classification")
+    return N.focal_mode(fx.class_map(spark, d), "classification", size=fx.TILE)
 
 
 @query("tile_halo", """

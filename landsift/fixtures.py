@@ -17,6 +17,7 @@ ORIGIN_LON, ORIGIN_LAT = 79.0, 22.8
 WINDOW = ("1996-01-01", "1999-01-01")
 EMPTY_WINDOW = ("1980-01-01", "1981-01-01")
 FALLBACK = ("1995-01-01", "2002-01-01")
+TILE = 16  # the fixture grid is only 50 cells wide
 AOI = [[(79.1, 22.9), (79.7, 22.85), (79.9, 23.3), (79.3, 23.5)]]
 
 

@@ -16,15 +16,8 @@ RADAR_TEXTURES = ["contrast", "var", "ent"]
 
 
 def median_composite(pixels: DataFrame, bands: list[str], **routing) -> DataFrame:
-    """Per-pixel, per-band median over time, NULLs skipped. One shuffle.
-
-    Shuffling by tile rather than by pixel moves the same rows, and leaves
-    neighbouring pixels together for what follows.
-    """
-    tiled = pixels.select("x", "y", *bands, N.tile_of("x", N.TILE_SIZE).alias("tx"), N.tile_of("y", N.TILE_SIZE).alias("ty"))
-    return medians.exact_medians(
-        tiled, [*N.TILE, *KEYS], bands, partition_by=N.TILE, hot_from=KEYS, **routing
-    ).drop(*N.TILE)
+    """Per-pixel, per-band median over time, NULLs skipped. One shuffle."""
+    return medians.exact_medians(pixels.select(*KEYS, *bands), KEYS, bands, **routing)
 
 
 def stacked_pixels(optical: DataFrame, radar: DataFrame) -> DataFrame:
@@ -38,14 +31,14 @@ def stacked_pixels(optical: DataFrame, radar: DataFrame) -> DataFrame:
     return optical_side.unionByName(radar_side)
 
 
-def stacked_composite(optical: DataFrame, radar: DataFrame, radius: int = 0, **routing) -> DataFrame:
+def stacked_composite(optical: DataFrame, radar: DataFrame, radius: int = 0, size: int = N.TILE_SIZE, **routing) -> DataFrame:
     """Both composites at once, on tiles with a halo of ``radius``.
 
     A median skips NULL, so one grouping of the union gives both composites and
     no join is needed. Only pixels with an optical scene survive; where radar
     has none, its bands are NULL.
     """
-    both = N.to_tiles(stacked_pixels(optical, radar), radius)
+    both = N.to_tiles(stacked_pixels(optical, radar), radius, size)
     composite = medians.exact_medians(
         both, [*N.TILE, *KEYS], [*S.OPTICAL_BANDS, *S.RADAR_BANDS], partition_by=N.TILE,
         extra={"optical": F.max("optical")}, hot_from=KEYS, **routing,
@@ -77,10 +70,10 @@ def with_features(tiled: DataFrame) -> DataFrame:
     )
 
 
-def feature_stack(optical: DataFrame, radar: DataFrame, bands: list[str] | None = None, **routing) -> DataFrame:
+def feature_stack(optical: DataFrame, radar: DataFrame, bands: list[str] | None = None, size: int = N.TILE_SIZE, **routing) -> DataFrame:
     """Composite, indices, texture and radar of whole rasters: x, y and the bands."""
-    tiled = with_features(stacked_composite(optical, radar, radius=1, **routing))
-    return N.own_cells(tiled).select("x", "y", *(bands or S.BANDS))
+    tiled = with_features(stacked_composite(optical, radar, radius=1, size=size, **routing))
+    return N.own_cells(tiled, size).select("x", "y", *(bands or S.BANDS))
 
 
 def scene_count(scenes: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def classified_raster(archive: Archive, request: Request, model, rings: list[lis
     if rings:
         lons, lats = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
         cells = archive.window_of((min(lons), min(lats), max(lons), max(lats)))
-    composite = stacked_composite(*selected_pixels(archive, request, cells), radius=HALO)
+    composite = stacked_composite(*selected_pixels(archive, request, cells), radius=HALO, size=archive.tile_size)
     if rings:
         composite = regions.clip(archive.with_lonlat(composite), rings).drop("lon", "lat")
     scored = model.transform(with_features(composite).select(*N.TILE, "x", "y", *(bands or S.BANDS)))
@@ -49,7 +49,7 @@ def classified_raster(archive: Archive, request: Request, model, rings: list[lis
     if smoothing:
         smooth = N.focal_mode_tiled(scored, "classification", labels=S.CLASS_IDS)
         scored = smooth.unionByName(scored.filter("classification IS NULL"))
-    return archive.with_lonlat(N.own_cells(scored))
+    return archive.with_lonlat(N.own_cells(scored, archive.tile_size))
 
 
 def classify_and_analyze(archive: Archive, points: DataFrame, request: Request, rings, model: str = S.DEFAULT_MODEL,
