@@ -39,7 +39,7 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         def project(rows: pd.Series) -> pd.Series:
             if rows.empty:
                 return pd.Series([], dtype=object)
-            x = np.stack(rows.to_numpy())
+            x = np.nan_to_num(np.stack(rows.to_numpy()))  # masked rows are dropped by the caller
             draw = np.random.default_rng(seed)
             weights = draw.normal(0.0, np.sqrt(2 * gamma), (x.shape[1], size))
             offset = draw.uniform(0.0, 2 * np.pi, size)

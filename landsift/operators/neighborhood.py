@@ -63,39 +63,38 @@ def focal_mode_tiled(tiled: DataFrame, value: str, radius: int = 1, labels: list
 
     Masked cells do not vote and masked centres stay masked; edges use the
     neighbours that exist. Input needs a halo of ``radius``; one row per
-    unmasked (tile, x, y) comes back.
+    (tile, x, y) comes back. The input is read once: a masked cell sends only a
+    marker to itself, any other cell a vote to every window it is part of.
     """
-    offsets = range(-radius, radius + 1)
+    offsets = F.array(*[F.lit(d) for d in range(-radius, radius + 1)])
+    at_home = (F.col("_dx") == 0) & (F.col("_dy") == 0)
     votes = (
-        tiled.filter(F.col(value).isNotNull())
-        .select(*TILE, "x", "y", F.col(value).alias("_c"))
-        .withColumn("_dx", F.explode(F.array(*[F.lit(d) for d in offsets])))
-        .withColumn("_dy", F.explode(F.array(*[F.lit(d) for d in offsets])))
+        tiled.select(*TILE, "x", "y", F.col(value).alias("_c"))
+        .withColumn("_dx", F.explode(offsets))
+        .withColumn("_dy", F.explode(offsets))
+        .filter(F.col("_c").isNotNull() | at_home)
     )
-    is_centre = (F.col("_dx") == 0) & (F.col("_dy") == 0)
     target = [*TILE, (F.col("x") + F.col("_dx")).alias("x"), (F.col("y") + F.col("_dy")).alias("y")]
-    votes = votes.select(*target, "_c", is_centre.cast("int").alias("_centre"))
-    grouped = votes.groupBy(*TILE, "x", "y")
+    home = F.when(at_home, F.when(F.col("_c").isNull(), 1).otherwise(2)).otherwise(0)  # 1 masked, 2 seen, 0 absent
+    grouped = votes.select(*target, "_c", home.alias("_home")).groupBy(*TILE, "x", "y")
     if labels is None:
-        counted = grouped.agg(F.max("_centre").alias("_centre"), F.mode("_c", deterministic=True).alias(value))
+        counted = grouped.agg(F.max("_home").alias("_home"), F.mode("_c", deterministic=True).alias("_best"))
     else:
         # n * span + (last - label): the largest number is the most voted, then smallest, label.
         span, last = max(labels) - min(labels) + 1, max(labels)
         counts = grouped.agg(
-            F.max("_centre").alias("_centre"),
-            *[F.sum((F.col("_c") == k).cast("int")).alias(f"_n{k}") for k in labels],
+            F.max("_home").alias("_home"), *[F.count_if(F.col("_c") == k).alias(f"_n{k}") for k in labels]
         )
-        best = F.greatest(*[F.col(f"_n{k}") * span + (last - k) for k in labels]) if len(labels) > 1 else F.lit(0)
-        counted = counts.withColumn(value, (F.lit(last) - best % span).cast("int"))
-    return counted.filter("_centre = 1").select(*TILE, "x", "y", value)
+        scores = [F.col(f"_n{k}") * span + (last - k) for k in labels]
+        top = F.greatest(*scores) if len(scores) > 1 else scores[0]
+        counted = counts.withColumn("_best", (F.lit(last) - top % span).cast("int"))
+    return counted.filter("_home > 0").select(*TILE, "x", "y", F.when(F.col("_home") == 2, F.col("_best")).alias(value))
 
 
 def focal_mode(image: DataFrame, value: str, radius: int = 1, labels: list[int] | None = None, size: int = TILE_SIZE) -> DataFrame:
     """Focal mode of a whole raster; masked centres come back as NULL rows."""
-    tiled = to_tiles(image.select("x", "y", value).filter(F.col(value).isNotNull()), radius, size).repartition(*TILE)
-    smooth = own_cells(focal_mode_tiled(tiled, value, radius, labels), size)
-    masked = image.filter(F.col(value).isNull()).select("x", "y", F.col(value))
-    return smooth.unionByName(masked)
+    tiled = to_tiles(image.select("x", "y", value), radius, size).repartition(*TILE)
+    return own_cells(focal_mode_tiled(tiled, value, radius, labels), size)
 
 
 # ---- Texture ----

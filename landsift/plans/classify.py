@@ -47,8 +47,7 @@ def classified_raster(archive: Archive, request: Request, model, rings: list[lis
     scored = model.transform(with_features(composite).select(*N.TILE, "x", "y", *(bands or S.BANDS)))
     scored = scored.select(*N.TILE, "x", "y", "classification")
     if smoothing:
-        smooth = N.focal_mode_tiled(scored, "classification", labels=S.CLASS_IDS)
-        scored = smooth.unionByName(scored.filter("classification IS NULL"))
+        scored = N.focal_mode_tiled(scored, "classification", labels=S.CLASS_IDS)
     return archive.with_lonlat(N.own_cells(scored, archive.tile_size))
 
 
