@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landsift import schema as S
+from landsift.session import cut_lineage
 
 
 def class_pairs(spark: SparkSession, classes: list[int]) -> DataFrame:
@@ -95,9 +96,12 @@ def matrix_is_square(matrix: DataFrame, k: int) -> DataFrame:
 
 
 def evaluate(df: DataFrame, classes: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Matrix, overall scores and per-class scores from one count over the rows."""
+    """Matrix, overall scores and per-class scores from one count over the rows.
+
+    The matrix is written down first, so predictions are made once and not per score.
+    """
     spark = df.sparkSession
-    matrix = confusion_matrix(df, classes or S.CLASS_IDS)
+    matrix = cut_lineage(confusion_matrix(df, classes or S.CLASS_IDS))
     return matrix, overall(matrix), per_class(matrix, S.class_table(spark))
 
 
