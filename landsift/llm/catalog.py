@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import lines, quality
+from landsift.llm import lines, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,39 @@ def op8(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return lines.drop_common_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def _network_sql(source: str, keys: list[int]) -> str:
+    """The Feistel rounds over ident, n, lb, rb (bits of both halves) and x, as layers of selects."""
+    layer = f"SELECT ident, n, lb, rb, x >> rb AS l, x & ((1::UBIGINT << rb) - 1) AS r FROM {source}"
+    for i, key in enumerate(keys):
+        width = "lb" if i % 2 == 0 else "rb"
+        layer = f"SELECT *, xor(r, {key}::UBIGINT) AS f FROM ({layer})"
+        layer = f"SELECT * REPLACE ((xor(f, f >> 16) * 2246822507::UBIGINT) & 4294967295 AS f) FROM ({layer})"
+        layer = f"SELECT * REPLACE ((xor(f, f >> 13) * 3266489909::UBIGINT) & 4294967295 AS f) FROM ({layer})"
+        layer = f"SELECT ident, n, lb, rb, r AS l, xor(l, xor(f, f >> 16) & ((1::UBIGINT << {width}) - 1)) AS r FROM ({layer})"
+    return f"SELECT ident, n, lb, rb, (l << rb) | r AS x FROM ({layer})"
+
+
+CRC_SQL = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex({0}), '..'), lambda b: CAST('0x' || b AS UBIGINT))),
+    lambda c, b: xor(c >> 8, crc_list[CAST(xor(c & 255, b) AS BIGINT) + 1]))"""
+CRC_TABLE = """crc AS MATERIALIZED (SELECT k, v FROM (WITH RECURSIVE r AS (SELECT k, k::UBIGINT AS v, 0 AS i FROM range(256) t(k)
+    UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, i + 1 FROM r WHERE i < 8)
+    SELECT k, v FROM r WHERE i = 8))"""
+
+
+@query("op1_sharding", f"""
+    WITH RECURSIVE {CRC_TABLE},
+    a AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, CAST(xor({CRC_SQL.format("coalesce(text, '')")}, 4294967295) AS BIGINT) AS text_crc32
+        FROM documents, (SELECT list(v ORDER BY k) AS crc_list FROM crc)),
+    b AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS ident, count(*) OVER () AS n FROM a),
+    c AS MATERIALIZED (SELECT ident, n, bits - bits // 2 AS lb, bits // 2 AS rb, ident::UBIGINT AS x FROM (SELECT *, greatest(2, length(bin(n - 1))) AS bits FROM b)),
+    walk AS ({_network_sql("c", sharding.round_keys(0))} UNION ALL
+        {_network_sql("(SELECT ident, n, lb, rb, x FROM walk WHERE x >= n)", sharding.round_keys(0))})
+    SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(x % 40 AS INT) AS shard, CAST(x // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+    FROM b JOIN walk USING (ident) WHERE x < b.n""")
+def op1(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").select("doc_id", F.crc32(text).alias("text_crc32"), (F.octet_length(text) + 16).cast("long").alias("size"))
+    placed = sharding.shard_rows(rows, ["doc_id", "text_crc32", "size"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
