@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import lines, quality, sharding
+from landsift.llm import decontaminate, lines, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,3 +126,24 @@ def op1(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.crc32(text).alias("text_crc32"), (F.octet_length(text) + 16).cast("long").alias("size"))
     placed = sharding.shard_rows(rows, ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query("op6_decontaminate", f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS w FROM documents),
+    m AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS w FROM benchmark),
+    i AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS x
+        FROM m, unnest(range(1, len(w) - least(10, len(w)) + 2)) u(k) WHERE len(w) > 0),
+    o AS MATERIALIZED (SELECT rid, item_id, k, size FROM (SELECT rid, s.size, k, array_to_string(w[k:k + s.size - 1], ' ') AS x
+        FROM d, (SELECT DISTINCT size FROM i) s, unnest(range(1, len(w) - s.size + 2)) u(k)) y JOIN i USING (size, x)),
+    h AS (SELECT rid, count(DISTINCT k + j) AS n FROM o, unnest(range(0, size)) v(j) GROUP BY rid),
+    t AS (SELECT rid, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS x FROM o WHERE item_id IS NOT NULL) z GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""")
+def op6(spark, d):
+    found = decontaminate.decontaminate(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
