@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import decontaminate, lines, quality, sharding
+from landsift.llm import decontaminate, lines, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,3 +147,16 @@ def op6(spark, d):
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op7_substring_dedup", f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+    x AS MATERIALIZED (SELECT rid, doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) u(k)),
+    m AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
+    g AS (SELECT DISTINCT rid, k + j AS k FROM x JOIN m USING (h), unnest(range(0, 50)) v(j) WHERE doc_id > least),
+    y AS (SELECT rid, k, w[k] AS s FROM d, unnest(range(1, len(w) + 1)) u(k)),
+    z AS (SELECT y.rid, count(g.k) AS n_removed, string_agg(s, ' ' ORDER BY y.k) FILTER (g.k IS NULL) AS t FROM y LEFT JOIN g ON y.rid = g.rid AND y.k = g.k GROUP BY y.rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN z USING (rid)""")
+def op7(spark, d):
+    kept = substrings.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
