@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import decontaminate, lines, quality, sharding, substrings
+from landsift.llm import decontaminate, lines, ngram_join, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,3 +160,22 @@ def op6(spark, d):
 def op7(spark, d):
     kept = substrings.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def links_sql(documents: str, width: int, percent: int) -> str:
+    """Tables w (rid, doc_id, w), s (rid, h), and root (rid, root, least): components by links between sets."""
+    return f"""w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}') AS w FROM {documents}),
+    s AS MATERIALIZED (SELECT DISTINCT rid, md5(array_to_string(w[k:k + least({width}, len(w)) - 1], ' ')) AS h
+        FROM w, unnest(range(1, len(w) - least({width}, len(w)) + 2)) u(k) WHERE len(w) > 0),
+    n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+    e AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM s a JOIN s b ON a.h = b.h AND a.rid <> b.rid JOIN n x ON x.rid = a.rid JOIN n y ON y.rid = b.rid
+        GROUP BY ALL HAVING 100 * count(*) >= {percent} * (any_value(x.n) + any_value(y.n) - count(*))),
+    reach AS (SELECT rid, rid AS other FROM w UNION SELECT reach.rid, e.b FROM reach JOIN e ON reach.other = e.a)"""
+
+
+@query("op10_ngram_join", f"""
+    WITH RECURSIVE {links_sql("documents", 4, 85)}
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM w LEFT JOIN n USING (rid)
+    JOIN (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN w o ON o.rid = reach.other GROUP BY reach.rid) r USING (rid)""")
+def op10(spark, d):
+    return ngram_join.group_similar(table(spark, d, "documents"), ngram_join.Jaccard(width=4, percent=85))
