@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import decontaminate, lines, ngram_join, quality, sharding, substrings
+from landsift.llm import decontaminate, lines, ngram_join, quality, sharding, substrings, token_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,3 +179,12 @@ def links_sql(documents: str, width: int, percent: int) -> str:
     JOIN (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN w o ON o.rid = reach.other GROUP BY reach.rid) r USING (rid)""")
 def op10(spark, d):
     return ngram_join.group_similar(table(spark, d, "documents"), ngram_join.Jaccard(width=4, percent=85))
+
+
+@query("op9_token_ids")
+def op9(spark, d):
+    import public_tokenizers
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = token_ids.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), words_apart=True)
+    return token_ids.positions(spark, path)
