@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import decontaminate, lines, ngram_join, quality, sharding, substrings, token_ids
+from landsift.llm import decontaminate, lines, ngram_join, quality, sharding, substrings, token_ids, warc
+from landsift.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,3 +190,18 @@ def op9(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     path = token_ids.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), words_apart=True)
     return token_ids.positions(spark, path)
+
+
+_FIVE = "CAST('0x' || substr(h, {0}, 5) AS INTEGER)"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_FIVE.format(5 * g + 1)} >> {k}) & 31) + 1, 1)" for g in range(8) for k in (15, 10, 5, 0))
+
+
+@query("op4_warc", f"""
+    SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM least OR least IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS NOT DISTINCT FROM least OR least IS NULL THEN NULL ELSE least END AS refers_to
+    FROM (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages) p) q""")
+def op4(spark, d):
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_pages(table(spark, d, "pages"), path)
+    return warc.page_records(spark, path)
