@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import decontaminate, lines, ngram_join, quality, sharding, substrings, token_ids, warc
+from landsift.llm import decontaminate, lines, mixing, ngram_join, quality, sharding, substrings, token_ids, warc
 from landsift.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,3 +205,19 @@ def op4(spark, d):
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_pages(table(spark, d, "pages"), path)
     return warc.page_records(spark, path)
+
+
+# Topics are told apart by what a text contains; patterns hold for both engines.
+MIX = mixing.Mix(
+    languages={"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.1, "other": 0.05},
+    topics={"markup": "[#*$%&<>]{3}", "legal": "(?i)licen[cs]e", "contact": "[0-9A-Za-z]@[0-9A-Za-z]|\\+[0-9]"},
+    topic_shares={"markup": 0.02, "legal": 0.08, "contact": 0.1, "other": 0.8},
+)
+
+
+@query("op3_mixing", f"""
+    WITH {mixing.mixing_sql(MIX, "documents")}
+    SELECT doc_id, source, topic, n_tokens, round(probability, 6) AS probability, kept FROM mixed""")
+def op3(spark, d):
+    mixed = mixing.mix_documents(table(spark, d, "documents"), MIX)
+    return mixed.select("doc_id", "source", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
