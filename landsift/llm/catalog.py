@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import decontaminate, lines, mixing, ngram_join, quality, sharding, substrings, token_ids, warc
+from landsift.llm import decontaminate, lines, mixing, ngram_join, quality, sharding, substrings, surrogates, token_ids, warc
 from landsift.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,3 +221,10 @@ MIX = mixing.Mix(
 def op3(spark, d):
     mixed = mixing.mix_documents(table(spark, d, "documents"), MIX)
     return mixed.select("doc_id", "source", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+@query("op5_surrogates")
+def op5(spark, d):
+    replaced = surrogates.replace_entities(table(spark, d, "documents").select("doc_id", "text"), key="production-key")
+    return replaced.select("doc_id", F.col("clean_text").alias("text"), "n_entities", *[
+        F.coalesce(F.col("kinds")[k], F.lit(0)).alias(f"n_{k}") for k in ("email", "address", "card", "phone", "secret", "name")])
