@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import decontaminate, lines, mixing, ngram_join, quality, sharding, substrings, surrogates, token_ids, warc
+import corpus_pipeline
+from landsift.llm import checks, decontaminate, lines, mixing, ngram_join, quality, sharding, substrings, surrogates, token_ids, warc
+from landsift.llm.settings import MIX
 from landsift.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,51 +32,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-WORD = r"[^\x20\x09-\x0D]+"
-LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-
-
-def quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-_RULES = quality.LineRules()
-_SEPARATED = f"^(?:[^|>»•]*[|>»•]){{{_RULES.separators},}}"
-
-
-def judged_sql(documents: str = "documents") -> str:
-    """Every document with the figures and the verdict of the line rules."""
-    return f"""
-    SELECT d.*, n_failed_lines, lost_chars, clean_text, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= {_RULES.max_lost_pct} * word_chars AS kept
-    FROM (SELECT b.*, coalesce(c.n, 0) AS n_repeat_words FROM (
-        SELECT *, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
-        length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lw) AS n_lines, len(lw) - len(list_distinct(lw)) AS n_dup_lines
-        FROM (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
-        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lw FROM {documents}) a) b
-    LEFT JOIN (SELECT rid, count(DISTINCT i + k) AS n FROM (
-        SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS c FROM (
-        SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (
-        SELECT row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM {documents}) a,
-        unnest(range(1, len(w) - 1)) u(i)) x) y WHERE c > 1) z, unnest([0, 1, 2]) v(k) GROUP BY rid) c USING (rid)) d
-    JOIN (SELECT rid, sum(CASE WHEN f THEN 1 ELSE 0 END) AS n_failed_lines, sum(CASE WHEN f THEN length(regexp_replace(s, '[ \\t-\\r]', '', 'g')) ELSE 0 END) AS lost_chars,
-        CASE WHEN any_value(text) IS NOT NULL THEN coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT f), '') END AS clean_text FROM (
-        SELECT *, s <> '' AND (NOT regexp_matches(s, {quoted(quality.SENTENCE_END)})
-        OR 100 * length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g')) > {_RULES.max_mark_pct} * length(regexp_replace(s, '[ \\t-\\r]', '', 'g')) OR regexp_matches(s, '(?i)^(?:{quality.MENU_WORDS})[.!?]?$')
-        OR regexp_matches(s, '{_SEPARATED}') OR regexp_matches(s, '(?i)(?:{quality.STOCK_PHRASES})')) AS f FROM (
-        SELECT rid, text, i, l[i] AS x, trim(l[i], {BLANKS}) AS s FROM (
-        SELECT row_number() OVER () AS rid, text, string_split(coalesce(text, ''), chr(10)) AS l FROM {documents}) a, unnest(range(1, len(l) + 1)) u(i)) b) c
-        GROUP BY rid) e USING (rid)"""
-
-
 _BIG = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 @query("op2_line_quality", f"""
     SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _BIG)}, base_failed, kept,
     CAST(n_failed_lines AS BIGINT) AS n_failed_lines, CAST(lost_chars AS BIGINT) AS lost_chars, sha256(coalesce(clean_text, '')) AS clean_sha256
-    FROM ({judged_sql()}) q""")
+    FROM ({checks.judged_sql()}) q""")
 def op2(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
@@ -83,7 +47,7 @@ def op2(spark, d):
 
 @query("op8_line_dedup", f"""
     WITH a AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-    b AS (SELECT rid, doc_id, i, l[i] AS x, {LOWER.format(f"trim(l[i], {BLANKS})")} AS k FROM a, unnest(range(1, len(l) + 1)) u(i)),
+    b AS (SELECT rid, doc_id, i, l[i] AS x, {checks.LOWER.format(f"trim(l[i], {checks.BLANKS})")} AS k FROM a, unnest(range(1, len(l) + 1)) u(i)),
     c AS (SELECT k FROM b WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
     SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
     sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (c.k IS NULL), '')) AS kept_sha256
@@ -94,35 +58,13 @@ def op8(spark, d):
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def _network_sql(source: str, keys: list[int]) -> str:
-    """The Feistel rounds over ident, n, lb, rb (bits of both halves) and x, as layers of selects."""
-    layer = f"SELECT ident, n, lb, rb, x >> rb AS l, x & ((1::UBIGINT << rb) - 1) AS r FROM {source}"
-    for i, key in enumerate(keys):
-        width = "lb" if i % 2 == 0 else "rb"
-        layer = f"SELECT *, xor(r, {key}::UBIGINT) AS f FROM ({layer})"
-        layer = f"SELECT * REPLACE ((xor(f, f >> 16) * 2246822507::UBIGINT) & 4294967295 AS f) FROM ({layer})"
-        layer = f"SELECT * REPLACE ((xor(f, f >> 13) * 3266489909::UBIGINT) & 4294967295 AS f) FROM ({layer})"
-        layer = f"SELECT ident, n, lb, rb, r AS l, xor(l, xor(f, f >> 16) & ((1::UBIGINT << {width}) - 1)) AS r FROM ({layer})"
-    return f"SELECT ident, n, lb, rb, (l << rb) | r AS x FROM ({layer})"
-
-
-CRC_SQL = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex({0}), '..'), lambda b: CAST('0x' || b AS UBIGINT))),
-    lambda c, b: xor(c >> 8, crc_list[CAST(xor(c & 255, b) AS BIGINT) + 1]))"""
-CRC_TABLE = """crc AS MATERIALIZED (SELECT k, v FROM (WITH RECURSIVE r AS (SELECT k, k::UBIGINT AS v, 0 AS i FROM range(256) t(k)
-    UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, i + 1 FROM r WHERE i < 8)
-    SELECT k, v FROM r WHERE i = 8))"""
-
-
 @query("op1_sharding", f"""
-    WITH RECURSIVE {CRC_TABLE},
-    a AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, CAST(xor({CRC_SQL.format("coalesce(text, '')")}, 4294967295) AS BIGINT) AS text_crc32
+    WITH RECURSIVE {checks.CRC_TABLE},
+    sized AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, CAST(xor({checks.CRC_SQL.format("coalesce(text, '')")}, 4294967295) AS BIGINT) AS text_crc32
         FROM documents, (SELECT list(v ORDER BY k) AS crc_list FROM crc)),
-    b AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS ident, count(*) OVER () AS n FROM a),
-    c AS MATERIALIZED (SELECT ident, n, bits - bits // 2 AS lb, bits // 2 AS rb, ident::UBIGINT AS x FROM (SELECT *, greatest(2, length(bin(n - 1))) AS bits FROM b)),
-    walk AS ({_network_sql("c", sharding.round_keys(0))} UNION ALL
-        {_network_sql("(SELECT ident, n, lb, rb, x FROM walk WHERE x >= n)", sharding.round_keys(0))})
+    {checks.placed_sql("sized", "doc_id NULLS FIRST, text_crc32, size")}
     SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(x % 40 AS INT) AS shard, CAST(x // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
-    FROM b JOIN walk USING (ident) WHERE x < b.n""")
+    FROM numbered JOIN walk USING (ident) WHERE x < numbered.n""")
 def op1(spark, d):
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, d, "documents").select("doc_id", F.crc32(text).alias("text_crc32"), (F.octet_length(text) + 16).cast("long").alias("size"))
@@ -130,20 +72,12 @@ def op1(spark, d):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
 @query("op6_decontaminate", f"""
-    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS w FROM documents),
-    m AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS w FROM benchmark),
-    i AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS x
-        FROM m, unnest(range(1, len(w) - least(10, len(w)) + 2)) u(k) WHERE len(w) > 0),
-    o AS MATERIALIZED (SELECT rid, item_id, k, size FROM (SELECT rid, s.size, k, array_to_string(w[k:k + s.size - 1], ' ') AS x
-        FROM d, (SELECT DISTINCT size FROM i) s, unnest(range(1, len(w) - s.size + 2)) u(k)) y JOIN i USING (size, x)),
-    h AS (SELECT rid, count(DISTINCT k + j) AS n FROM o, unnest(range(0, size)) v(j) GROUP BY rid),
-    t AS (SELECT rid, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS x FROM o WHERE item_id IS NOT NULL) z GROUP BY rid)
+    WITH {checks.hits_sql("documents")},
+    h AS (SELECT rid, count(DISTINCT k + j) AS n FROM occurs, unnest(range(0, size)) v(j) GROUP BY rid),
+    t AS (SELECT rid, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS x FROM occurs WHERE item_id IS NOT NULL) z GROUP BY rid)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-    FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""")
+    FROM hd LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""")
 def op6(spark, d):
     found = decontaminate.decontaminate(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
     return found.select(
@@ -152,7 +86,7 @@ def op6(spark, d):
 
 
 @query("op7_substring_dedup", f"""
-    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{checks.WORD}') AS w FROM documents),
     x AS MATERIALIZED (SELECT rid, doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) u(k)),
     m AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
     g AS (SELECT DISTINCT rid, k + j AS k FROM x JOIN m USING (h), unnest(range(0, 50)) v(j) WHERE doc_id > least),
@@ -164,19 +98,8 @@ def op7(spark, d):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def links_sql(documents: str, width: int, percent: int) -> str:
-    """Tables w (rid, doc_id, w), s (rid, h), and root (rid, root, least): components by links between sets."""
-    return f"""w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}') AS w FROM {documents}),
-    s AS MATERIALIZED (SELECT DISTINCT rid, md5(array_to_string(w[k:k + least({width}, len(w)) - 1], ' ')) AS h
-        FROM w, unnest(range(1, len(w) - least({width}, len(w)) + 2)) u(k) WHERE len(w) > 0),
-    n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
-    e AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM s a JOIN s b ON a.h = b.h AND a.rid <> b.rid JOIN n x ON x.rid = a.rid JOIN n y ON y.rid = b.rid
-        GROUP BY ALL HAVING 100 * count(*) >= {percent} * (any_value(x.n) + any_value(y.n) - count(*))),
-    reach AS (SELECT rid, rid AS other FROM w UNION SELECT reach.rid, e.b FROM reach JOIN e ON reach.other = e.a)"""
-
-
 @query("op10_ngram_join", f"""
-    WITH RECURSIVE {links_sql("documents", 4, 85)}
+    WITH RECURSIVE {checks.links_sql("documents", 4, 85)}
     SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM w LEFT JOIN n USING (rid)
     JOIN (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN w o ON o.rid = reach.other GROUP BY reach.rid) r USING (rid)""")
 def op10(spark, d):
@@ -192,12 +115,8 @@ def op9(spark, d):
     return token_ids.positions(spark, path)
 
 
-_FIVE = "CAST('0x' || substr(h, {0}, 5) AS INTEGER)"
-_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_FIVE.format(5 * g + 1)} >> {k}) & 31) + 1, 1)" for g in range(8) for k in (15, 10, 5, 0))
-
-
 @query("op4_warc", f"""
-    SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM least OR least IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+    SELECT page_id, payload_bytes, {checks.BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM least OR least IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id IS NOT DISTINCT FROM least OR least IS NULL THEN NULL ELSE least END AS refers_to
     FROM (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM (
     SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages) p) q""")
@@ -207,14 +126,6 @@ def op4(spark, d):
     return warc.page_records(spark, path)
 
 
-# Topics are told apart by what a text contains; patterns hold for both engines.
-MIX = mixing.Mix(
-    languages={"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.1, "other": 0.05},
-    topics={"markup": "[#*$%&<>]{3}", "legal": "(?i)licen[cs]e", "contact": "[0-9A-Za-z]@[0-9A-Za-z]|\\+[0-9]"},
-    topic_shares={"markup": 0.02, "legal": 0.08, "contact": 0.1, "other": 0.8},
-)
-
-
 @query("op3_mixing", f"""
     WITH {mixing.mixing_sql(MIX, "documents")}
     SELECT doc_id, source, topic, n_tokens, round(probability, 6) AS probability, kept FROM mixed""")
@@ -228,3 +139,8 @@ def op5(spark, d):
     replaced = surrogates.replace_entities(table(spark, d, "documents").select("doc_id", "text"), key="production-key")
     return replaced.select("doc_id", F.col("clean_text").alias("text"), "n_entities", *[
         F.coalesce(F.col("kinds")[k], F.lit(0)).alias(f"n_{k}") for k in ("email", "address", "card", "phone", "secret", "name")])
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
