@@ -48,7 +48,7 @@ def op2(spark, d):
 @query("op8_line_dedup", f"""
     WITH a AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
     b AS (SELECT rid, doc_id, i, l[i] AS x, {checks.LOWER.format(f"trim(l[i], {checks.BLANKS})")} AS k FROM a, unnest(range(1, len(l) + 1)) u(i)),
-    c AS (SELECT k FROM b WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+    c AS (SELECT k FROM b WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'none')) >= 10)
     SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
     sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (c.k IS NULL), '')) AS kept_sha256
     FROM b LEFT JOIN c USING (k) GROUP BY rid""")
@@ -89,7 +89,7 @@ def op6(spark, d):
     WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{checks.WORD}') AS w FROM documents),
     x AS MATERIALIZED (SELECT rid, doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) u(k)),
     m AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
-    g AS (SELECT DISTINCT rid, k + j AS k FROM x JOIN m USING (h), unnest(range(0, 50)) v(j) WHERE doc_id > least),
+    g AS (SELECT DISTINCT rid, k + j AS k FROM x JOIN m USING (h), unnest(range(0, 50)) v(j) WHERE doc_id > least OR doc_id IS NULL AND least IS NOT NULL),
     y AS (SELECT rid, k, w[k] AS s FROM d, unnest(range(1, len(w) + 1)) u(k)),
     z AS (SELECT y.rid, count(g.k) AS n_removed, string_agg(s, ' ' ORDER BY y.k) FILTER (g.k IS NULL) AS t FROM y LEFT JOIN g ON y.rid = g.rid AND y.k = g.k GROUP BY y.rid)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN z USING (rid)""")

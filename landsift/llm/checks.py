@@ -91,7 +91,8 @@ def links_sql(documents: str, width: int, percent: int) -> str:
         FROM w, unnest(range(1, len(w) - least({width}, len(w)) + 2)) u(k) WHERE len(w) > 0),
     n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
     e AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM s a JOIN s b ON a.h = b.h AND a.rid <> b.rid JOIN n x ON x.rid = a.rid JOIN n y ON y.rid = b.rid
-        GROUP BY ALL HAVING 100 * count(*) >= {percent} * (any_value(x.n) + any_value(y.n) - count(*))),
+        GROUP BY ALL HAVING 100 * count(*) >= {percent} * (any_value(x.n) + any_value(y.n) - count(*))
+        UNION SELECT a.rid, b.rid FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.rid <> b.rid WHERE len(a.w) > 0 AND len(b.w) > 0),
     reach AS (SELECT rid, rid AS other FROM w UNION SELECT reach.rid, e.b FROM reach JOIN e ON reach.other = e.a)"""
 
 
