@@ -216,14 +216,14 @@ def tuning_table(spark, d):
 
 @query("best_params_per_model", """
     SELECT model, params_str, round(mean_test_score, 6) AS mean_test_score FROM (SELECT *, row_number() OVER (PARTITION BY model
-    ORDER BY mean_test_score DESC, params_str) AS rn FROM tuning) t WHERE rn = 1""", ("tuning",))
+    ORDER BY round(mean_test_score, 9) DESC, params_str) AS rn FROM tuning) t WHERE rn = 1""", ("tuning",))
 def best_params_per_model(spark, d):
     best = ranking.best_rows(_summary(spark, d), ["model"], "mean_test_score", [F.col("params_str")])
     return rounded(best.select("model", "params_str", "mean_test_score"), ["mean_test_score"])
 
 
 @query("best_params_overall", """
-    SELECT model, params_str, round(mean_test_score, 6) AS mean_test_score FROM tuning ORDER BY tuning.mean_test_score DESC, model, params_str LIMIT 1""", ("tuning",))
+    SELECT model, params_str, round(mean_test_score, 6) AS mean_test_score FROM tuning ORDER BY round(tuning.mean_test_score, 9) DESC, model, params_str LIMIT 1""", ("tuning",))
 def best_params_overall(spark, d):
     best = ranking.best_rows(_summary(spark, d), [], "mean_test_score", [F.col("model"), F.col("params_str")])
     return rounded(best.select("model", "params_str", "mean_test_score"), ["mean_test_score"])
@@ -258,10 +258,13 @@ _BAND = ["mean_test_score", "mean_train_score", "band_low", "band_high", "gap"]
 
 
 @query("top_twenty_overfit", f"""
-    SELECT model, params_str, position, {round_sql(_BAND)} FROM (SELECT *, mean_test_score - std_test_score AS band_low,
-    mean_test_score + std_test_score AS band_high, mean_train_score - mean_test_score AS gap,
-    CAST(row_number() OVER (PARTITION BY model ORDER BY rank_test_score, params_str) AS INT) AS position FROM tuning) t WHERE position <= 20""",
+    SELECT model, params_str, position, {", ".join(f"CAST(round({c}, 6) AS DOUBLE) AS {c}" for c in _BAND)} FROM (
+    SELECT model, params_str, position, mean AS mean_test_score, train AS mean_train_score, mean - std AS band_low, mean + std AS band_high, train - mean AS gap FROM (
+    SELECT *, CAST(round(mean_test_score, 9) AS DECIMAL(18, 9)) AS mean, CAST(round(std_test_score, 9) AS DECIMAL(18, 9)) AS std,
+    CAST(round(mean_train_score, 9) AS DECIMAL(18, 9)) AS train,
+    CAST(row_number() OVER (PARTITION BY model ORDER BY rank_test_score, params_str) AS INT) AS position FROM tuning) s) t WHERE position <= 20""",
     ("tuning",))
 def top_twenty_overfit(spark, d):
     top = ranking.top_parameter_sets(_summary(spark, d), 20)
-    return rounded(top.select("model", "params_str", "position", *_BAND), _BAND)
+    exact = {c: F.round(F.round(c, 9).cast("decimal(18,9)"), 6).cast("double") for c in _BAND}
+    return top.select("model", "params_str", "position", *[v.alias(c) for c, v in exact.items()])

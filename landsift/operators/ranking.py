@@ -27,12 +27,12 @@ def valid_runs(results: DataFrame, drop_perfect: bool = False) -> DataFrame:
 
 
 def best_rows(results: DataFrame, by: list[str], score: str, position: list[Column]) -> DataFrame:
-    """The row with the highest score per group, the first written on a tie.
+    """The row with the highest score per group, the first written on a tie (equal to nine digits).
 
     An aggregate, not a window: each task keeps one candidate per group, so a
     group that owns most rows costs no more than any other.
     """
-    order = F.struct((-F.col(score)).alias("s"), *[p.alias(f"p{i}") for i, p in enumerate(position)])
+    order = F.struct((-F.round(score, 9)).alias("s"), *[p.alias(f"p{i}") for i, p in enumerate(position)])
     rest = [c for c in results.columns if c not in by]
     best = results.filter(F.col(score).isNotNull()).groupBy(*by).agg(F.min_by(F.struct(*rest), order).alias("b"))
     return best.select(*by, "b.*") if by else best.filter("b IS NOT NULL").select("b.*")
@@ -128,11 +128,16 @@ def mean_score_by(summary: DataFrame, model: str, columns: dict[str, Column]) ->
 
 
 def top_parameter_sets(summary: DataFrame, n: int = 20) -> DataFrame:
-    """Best n sets per model with the score band and the over-fit gap."""
+    """Best n sets per model with the score band and the over-fit gap.
+
+    Differences are taken between scores of nine exact digits, so the order in
+    which a mean was added up never decides how they round.
+    """
     w = W.partitionBy("model").orderBy("rank_test_score", "params_str")
-    mean, std = F.col("mean_test_score"), F.col("std_test_score")
+    exact = lambda c: F.round(c, 9).cast("decimal(18,9)")
+    mean, std, train = exact("mean_test_score"), exact("std_test_score"), exact("mean_train_score")
     return summary.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n).withColumns({
-        "band_low": mean - std, "band_high": mean + std, "gap": F.col("mean_train_score") - mean
+        "band_low": mean - std, "band_high": mean + std, "gap": train - mean
     })
 
 
