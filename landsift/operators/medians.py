@@ -1,34 +1,35 @@
 """Exact per-key medians that hold up when one key owns much of the data.
 
 Ordinary keys go through ``median`` after one shuffle. Keys that own a large
-share of all rows are found first by one small global aggregate and take a
+number of rows are found first by one small global aggregate and take a
 second route: histogram, pick the bucket that holds the middle rank, and look
 only there. Both routes are exact, so routing never changes a result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1 / 500
+HOT_KEYS = 5_000
 HOT_ROWS = 1_000_000
 BUCKETS = 4096
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys holding more than ``share`` of all rows.
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, limit: int = HOT_KEYS) -> list[int]:
+    """Hashes of the keys that hold more than ``min_rows`` rows, however large the table.
 
-    One aggregate with a fixed-size sketch; at most 1/share values come back. A
-    hash collision only sends one more key down the other exact route.
+    One aggregate with a fixed-size sketch; at most ``limit`` values come back,
+    the largest. A hash collision only sends one more key down the other exact route.
     """
-    limit = int(1 / share)
     row = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.count("*").alias("n"), F.expr(f"approx_top_k(h, {limit}, {limit * 10})").alias("top")
+        F.expr(f"approx_top_k(h, {limit}, {limit * 10})").alias("top")
     ).first()
-    floor = max(min_rows, row["n"] * share)
-    return [item["item"] for item in (row["top"] or []) if item["count"] > floor]
+    return [item["item"] for item in (row["top"] or []) if item["count"] > min_rows]
 
 
 def is_hot(keys: list[str], hot: list[int]) -> Column:
@@ -42,7 +43,6 @@ def exact_medians(
     partition_by: list[str] | None = None,
     extra: dict[str, Column] | None = None,
     hot_from: list[str] | None = None,
-    hot_share: float = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Median of each value column per key, NULLs skipped, middle two averaged.
@@ -60,7 +60,7 @@ def exact_medians(
         )
 
     routing = hot_from or keys
-    hot = hot_keys(df, routing, hot_share, hot_rows)
+    hot = hot_keys(df, routing, hot_rows)
     if not hot:
         return plain(df)
     cold = plain(df.filter(~is_hot(routing, hot)))
@@ -68,17 +68,24 @@ def exact_medians(
     return cold.unionByName(warm).repartition(*spread)
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with a few rows per key added; NULL keys are equal."""
+    renamed = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return left.join(F.broadcast(renamed), same, how).drop(*[f"_{k}" for k in keys])
+
+
 def refined_medians(rows: DataFrame, keys: list[str], values: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
     """Medians of a few very large groups, without gathering any of them."""
     entry = F.explode(F.array(*[F.struct(F.lit(v).alias("band"), F.col(v).cast("double").alias("v")) for v in values]))
     group = [*keys, "band"]
     tall = rows.select(*keys, entry.alias("e")).select(*keys, "e.band", "e.v").filter("v IS NOT NULL")
 
-    # One row per hot key and band: bounded by 1/share keys, so broadcasts are small.
+    # One row per hot key and band: HOT_KEYS bounds them, so broadcasts are small.
     span = tall.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
     width = F.col("hi") - F.col("lo")
     bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
-    placed = tall.join(F.broadcast(span), group).withColumn("bucket", bucket)
+    placed = joined(tall, span, group).withColumn("bucket", bucket)
 
     counts = placed.groupBy(*group, "bucket").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     running = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -91,7 +98,7 @@ def refined_medians(rows: DataFrame, keys: list[str], values: list[str], extra:
         *group, "bucket", "before", "low_rank", "high_rank"
     )
 
-    inside = placed.join(F.broadcast(middle), [*group, "bucket"]).groupBy(*group, "v").agg(
+    inside = joined(placed, middle, [*group, "bucket"]).groupBy(*group, "v").agg(
         F.count("*").alias("c"), F.min("before").alias("before"),
         F.first("low_rank").alias("low_rank"), F.first("high_rank").alias("high_rank"),
     )
@@ -103,4 +110,4 @@ def refined_medians(rows: DataFrame, keys: list[str], values: list[str], extra:
     )
     wide = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("band") == v, F.col("m"))).alias(v) for v in values])
     base = rows.groupBy(*keys).agg(F.count("*").alias("rows_seen"), *[c.alias(n) for n, c in (extra or {}).items()])
-    return base.join(F.broadcast(wide), keys, "left").select(*keys, *values, *(extra or {}))
+    return joined(base, wide, keys, "left").select(*keys, *values, *(extra or {}))

@@ -22,10 +22,10 @@ def tile_of(coordinate: str, size: int) -> Column:
 
 
 def to_tiles(cells: DataFrame, radius: int, size: int = TILE_SIZE) -> DataFrame:
-    """Each cell once per tile whose halo of ``radius`` contains it."""
+    """Each cell once per tile whose halo of ``radius`` contains it; a halo may be wider than a tile."""
     def tiles(coordinate: str) -> Column:
         c = F.col(coordinate)
-        return F.explode(F.array_distinct(F.array(*[F.floor((c + d) / size) for d in (-radius, 0, radius)])))
+        return F.explode(F.sequence(F.floor((c - radius) / size), F.floor((c + radius) / size)))
 
     return cells.withColumn("tx", tiles("x")).withColumn("ty", tiles("y"))
 

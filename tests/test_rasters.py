@@ -108,10 +108,10 @@ def skewed(spark, n=6000):
 
 def test_hot_key_is_found_and_its_median_is_the_same(spark):
     df = skewed(spark)
-    assert len(M.hot_keys(df, ["k"], share=0.1, min_rows=100)) == 1
+    assert len(M.hot_keys(df, ["k"], min_rows=100)) == 1
     assert M.hot_keys(df, ["k"]) == []
     plain = M.exact_medians(df, ["k"], ["a", "b", "c"], extra={"n": F.count("*")})
-    split = M.exact_medians(df, ["k"], ["a", "b", "c"], extra={"n": F.count("*")}, hot_share=0.1, hot_rows=100)
+    split = M.exact_medians(df, ["k"], ["a", "b", "c"], extra={"n": F.count("*")}, hot_rows=100)
     all_hot = M.refined_medians(df, ["k"], ["a", "b", "c"], {"n": F.count("*")})
     want = sorted(plain.collect())
     for other in (split, all_hot):
@@ -140,7 +140,7 @@ def test_features_do_not_depend_on_tiles_or_partitions(spark):
     radar = pixels(spark, 7, S.RADAR_BANDS, 500).withColumns({"VV": F.col("VV") * 30 - 25, "VH": F.col("VH") * 30 - 30})
     one = sorted(C.feature_stack(optical, radar, S.FULL_BANDS, size=64).collect())
     two = sorted(C.feature_stack(optical.repartition(13), radar.repartition(3), S.FULL_BANDS, size=3).collect())
-    hot = sorted(C.feature_stack(optical, radar, S.FULL_BANDS, size=5, hot_share=0.005, hot_rows=1).collect())
+    hot = sorted(C.feature_stack(optical, radar, S.FULL_BANDS, size=5, hot_rows=1).collect())
     assert len(one) == len(two) == len(hot) == optical.select("x", "y").distinct().count()
     for a, b, c in zip(one, two, hot):
         for band in S.FULL_BANDS:
