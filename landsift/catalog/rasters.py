@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,54 @@ def optical_fallback(spark, d):
     return scenes.select("scene_id", "cloud_pct")
 
 
+_PLACED = """(SELECT *, 79e0 + (scene_id % 10) * 0.1e0 AS west, 79.1e0 + (scene_id % 10) * 0.1e0 AS east, 22.8e0 AS south, 23.2e0 AS north FROM scenes
+    WHERE scene_id % 10 <> 3 OR ts >= TIMESTAMP '1996-02-01')"""
+
+
+def _areas_sql(name: str, box: tuple[float, float, float, float]) -> str:
+    west, south, east, north = box
+    touching = f"SELECT * FROM {_PLACED} p WHERE sensor = 'S2' AND west <= {east}e0 AND east >= {west}e0 AND south <= {north}e0 AND north >= {south}e0"
+    wanted = "ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1996-02-01' AND cloud_pct < 15"
+    spare = "ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '2002-01-01' AND cloud_pct < 30"
+    return f"""SELECT '{name}' AS area, scene_id FROM ({touching}) a WHERE {wanted} OR ({spare} AND NOT EXISTS (SELECT 1 FROM ({touching}) b WHERE {wanted}))"""
+
+
+_FAR_AREAS = {"seen": (79.0, 22.8, 79.95, 23.1), "unseen": (79.33, 22.9, 79.37, 23.0)}
+
+
+@query("fallback_by_area", " UNION ALL ".join(_areas_sql(n, b) for n, b in _FAR_AREAS.items()), ("scenes",))
+def fallback_by_area(spark, d):
+    """Two areas under one request: one has scenes of its own, the other falls back, whatever the first has."""
+    column = F.col("scene_id") % 10
+    placed = fx.scenes(spark, d).withColumns({
+        "west": 79.0 + column * 0.1, "east": 79.1 + column * 0.1, "south": F.lit(22.8), "north": F.lit(23.2)})
+    placed = placed.filter((column != 3) | (F.col("ts") >= F.lit("1996-02-01").cast("timestamp")))
+    found = [SC.optical_scenes(SC.within(placed, box), "1996-01-01", "1996-02-01", allow_fallback=True, fallback_window=fx.FALLBACK)
+             .select(F.lit(name).alias("area"), "scene_id") for name, box in _FAR_AREAS.items()]
+    return found[0].union(found[1])
+
+
+def _many_vertices() -> list[list[tuple[float, float]]]:
+    """A star of 5,000 corners around the middle of the grid, with a hole of 1,000."""
+    def ring(n: int, radius: float) -> list[tuple[float, float]]:
+        return [(79.5 + radius * (1 + (k * 7919 % 101) / 250) * math.cos(2 * math.pi * k / n),
+                 22.84 + radius * (1 + (k * 7919 % 101) / 250) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    return [ring(5000, 0.3), ring(1000, 0.1)]
+
+
+_VERTEX_ROWS = ", ".join(
+    f"({x1!r}e0, {y1!r}e0, {x2!r}e0, {y2!r}e0)" for r in _many_vertices() for (x1, y1), (x2, y2) in zip(r, [*r[1:], r[0]]))
+
+
+@query("clip_many_vertices", f"""
+    SELECT x, y FROM (SELECT DISTINCT x, y, 79e0 + x * 0.02e0 + 0.01e0 AS lon, 22.8e0 + y * 0.02e0 + 0.01e0 AS lat FROM observations) c,
+    (VALUES {_VERTEX_ROWS}) e(x1, y1, x2, y2)
+    GROUP BY x, y HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1""", ("observations",))
+def clip_many_vertices(spark, d):
+    cells = fx.with_lonlat(fx.observations(spark, d).select("x", "y").distinct())
+    return regions.clip(cells, _many_vertices()).select("x", "y")
+
+
 @query("optical_fallback_not_needed", "SELECT scene_id, cloud_pct FROM optical_scenes", ("optical_scenes",))
 def optical_fallback_not_needed(spark, d):
     scenes = SC.optical_scenes(fx.scenes(spark, d), *fx.WINDOW, allow_fallback=True, fallback_window=fx.FALLBACK)

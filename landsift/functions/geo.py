@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
@@ -49,7 +50,7 @@ def mercator_scale(south: Column, north: Column, ground_m: float = 10.0) -> Colu
 
 
 def pixel_span(low: Column, high: Column, scale: Column) -> Column:
-    return F.greatest(F.lit(1), F.round((high - low) / scale).cast("int"))
+    return F.greatest(F.lit(1), F.bround((high - low) / scale).cast("int"))
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -132,11 +133,28 @@ def inside(lon: Column, lat: Column, edge_list: Column) -> Column:
 
 
 def inside_fixed(lon: Column, lat: Column, ring_list: list[list[tuple[float, float]]]) -> Column:
-    """Even-odd rule for one known polygon, unrolled into plain comparisons."""
-    crossing = F.lit(0)
-    for ring in ring_list:
-        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
-            if y1 != y2:
-                hit = crosses(lon, lat, *(F.lit(float(v)) for v in (x1, y1, x2, y2)))
-                crossing = crossing + hit.cast("int")
-    return crossing % 2 == 1
+    """Even-odd rule for one known polygon of any number of vertices.
+
+    The box is cut into horizontal strips, as many as keep the listed edges
+    below eight times their number; a point looks only at those of its strip.
+    """
+    edges = [
+        (float(x1), float(y1), float(x2), float(y2))
+        for ring in ring_list for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]) if y1 != y2
+    ]
+    if not edges:
+        return F.lit(False)
+    south, north = (f(y for e in edges for y in (e[1], e[3])) for f in (min, max))
+    n = len(edges)
+    while n > 1 and sum(abs(e[3] - e[1]) for e in edges) / (north - south) * n > 5 * len(edges):
+        n //= 2
+    height = (north - south) / n
+    strips: list[list] = [[] for _ in range(n)]
+    for e in edges:
+        low, high = sorted(int((y - south) / height) for y in (e[1], e[3]))
+        for k in range(max(low - 1, 0), min(high + 1, n - 1) + 1):  # one more on either side, for rounding
+            strips[k].append(e)
+    listed = F.from_json(F.lit(json.dumps(strips)), "array<array<array<double>>>")
+    strip = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((lat - south) / height))).cast("int")
+    hits = F.filter(F.get(listed, strip), lambda e: crosses(lon, lat, e[0], e[1], e[2], e[3]))
+    return F.size(hits) % 2 == 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landsift import schema as S
 from landsift.models.factory import make_classifier
-from landsift.models.store import ModelStore, model_key
+from landsift.models.store import ModelStore, content_of, model_key
 from landsift.operators import areas
 from landsift.operators import neighborhood as N
 from landsift.operators import regions
@@ -37,11 +37,12 @@ def classified_raster(archive: Archive, request: Request, model, rings: list[lis
     texture and smoothing, so one shuffle carries the whole chain. The composite
     is clipped first: beyond the polygon there is nothing to read.
     """
-    cells = None
+    cells = box = None
     if rings:
         lons, lats = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
-        cells = archive.window_of((min(lons), min(lats), max(lons), max(lats)))
-    composite = stacked_composite(*selected_pixels(archive, request, cells), radius=HALO, size=archive.tile_size)
+        box = (min(lons), min(lats), max(lons), max(lats))
+        cells = archive.window_of(box)
+    composite = stacked_composite(*selected_pixels(archive, request, cells, box), radius=HALO, size=archive.tile_size)
     if rings:
         composite = regions.clip(archive.with_lonlat(composite), rings).drop("lon", "lat")
     scored = model.transform(with_features(composite).select(*N.TILE, "x", "y", *(bands or S.BANDS)))
@@ -59,7 +60,10 @@ def classify_and_analyze(archive: Archive, points: DataFrame, request: Request,
     bands = bands or S.BANDS
     key = S.normalise_model(model)
     trained = (store or ModelStore(spark)).get(
-        model_key(key, request.start, request.end, request.cloud, request.allow_fallback),
+        model_key(
+            key, request.start, request.end, request.cloud, request.allow_fallback, params=params, bands=bands,
+            content=(content_of(points), content_of(archive.scenes)),
+        ),
         make_classifier(key, params),
         lambda: cut_lineage(training_sample(archive, points, request, bands)),
         bands,

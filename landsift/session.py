@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,9 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="landsift-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return folder
+    # With its scheme, so that workers which open files themselves find the same place.
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,6 +51,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle, broadcast and checkpoint files that nothing refers to any more.
+
+    It notices them only when the driver collects garbage, which a loop of many small jobs seldom makes it do.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Write an empty file on whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True).close()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Does a file exist on whatever file system the path names?"""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

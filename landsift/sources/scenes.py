@@ -21,6 +21,15 @@ def boxes_overlap(west: Column, south: Column, east: Column, north: Column, box:
     return (west <= e) & (east >= w) & (south <= n) & (north >= s)
 
 
+FOOTPRINT = ["west", "south", "east", "north"]
+
+
+def within(scenes: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Scenes whose footprint, kept with their metadata, overlaps the box; one without a footprint may."""
+    unknown = F.col("west").isNull() | F.col("south").isNull() | F.col("east").isNull() | F.col("north").isNull()
+    return scenes.filter(unknown | boxes_overlap(*[F.col(c) for c in FOOTPRINT], box))
+
+
 def with_fallback(wanted: DataFrame, spare: DataFrame) -> DataFrame:
     """``wanted``, or ``spare`` when it is empty. Decided inside the query."""
     return wanted.unionByName(spare.filter(~wanted.select("scene_id").exists()))
