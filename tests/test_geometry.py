@@ -17,7 +17,7 @@ from landsift.operators import grid, regions
 from landsift.operators.sampling import block_split, random_split
 from landsift.sources import tables
 
-DISTRICT = (79.4585, 22.8426, 80.7395, 23.4823)
+BOX = (10.25, 45.5, 10.75, 45.75)  # half a degree by a quarter
 
 
 def polygon(*rings):
@@ -30,10 +30,9 @@ HOLE = [[1, 1], [3, 1], [3, 3], [1, 3], [1, 1]]
 
 def test_positions_at_any_depth(spark):
     shapes = [
-        ({"type": "Point", "coordinates": [80.0, 23.15]}, 1),
-        ({"type": "Polygon", "coordinates": [[[80.0, 23.15], [80.05, 23.15], [80.05, 23.2], [80.0, 23.2], [80.0, 23.15]]]}, 5),
-        ({"type": "MultiPolygon", "coordinates": [[[[80.0, 23.15], [80.05, 23.15], [80.0, 23.2], [80.0, 23.15]]],
-                                                  [[[80.1, 23.25], [80.15, 23.25], [80.1, 23.3], [80.1, 23.25]]]]}, 8),
+        ({"type": "Point", "coordinates": [-4.5, 51.25]}, 1),
+        ({"type": "LineString", "coordinates": [[-4.5, 51.25], [-4, 51.5], [-3.5, 51]]}, 3),
+        ({"type": "MultiPolygon", "coordinates": [[[[2, 1], [6, 1], [2, 3], [2, 1]]], [[[-7, 8], [-5, 8], [-7, 9.5], [-6, 9], [-7, 8]]]]}, 9),
         ({"type": "Polygon", "coordinates": [[[-1.5e-3, 2.0, 9.0], [1, -2, 9.0], [0, 0, 9.0]]]}, 3),
     ]
     df = spark.createDataFrame([(json.dumps(g), n) for g, n in shapes], "g string, n int")
@@ -41,7 +40,7 @@ def test_positions_at_any_depth(spark):
     assert all(len(r["p"]) == r["n"] for r in rows)
     assert rows[3]["p"][0]["lon"] == -0.0015
     box = df.select(geo.bounds(geo.positions(F.col("g"))).alias("b")).collect()[2]["b"]
-    assert (box["west"], box["east"], box["south"], box["north"]) == (80.0, 80.15, 23.15, 23.3)
+    assert (box["west"], box["east"], box["south"], box["north"]) == (-7.0, 6.0, 1.0, 9.5)
 
 
 def test_uploads_take_the_first_polygon_or_are_rejected(spark):
@@ -78,16 +77,19 @@ def test_location_by_cell_equals_testing_every_polygon(spark):
         assert sorted(map(tuple, regions.locate(pts, regs, ["district_id"], cell).select("pid", "district_id").collect())) == want
 
 
-def test_district_grid_and_tiles(spark):
-    boxes = spark.createDataFrame([(1, *DISTRICT)], "id int, west double, south double, east double, north double")
+def test_grid_and_tiles_of_a_box(spark):
+    boxes = spark.createDataFrame([(1, *BOX)], "id int, west double, south double, east double, north double")
     g = grid.render_grid(boxes).first()
-    assert (g["width"], g["height"]) == (13111, 7121)
-    ground = math.radians(DISTRICT[2] - DISTRICT[0]) * S.EARTH_RADIUS_M * math.cos(math.radians((DISTRICT[1] + DISTRICT[3]) / 2))
-    assert ground / g["width"] == pytest.approx(10, abs=0.15)
+    # ten metres on the ground at the middle latitude, worked out on the sphere by hand
+    shrink = math.cos(math.radians((BOX[1] + BOX[3]) / 2))
+    merc = [math.log(math.tan(math.pi / 4 + math.radians(v) / 2)) for v in (BOX[1], BOX[3])]
+    wide, high = math.radians(BOX[2] - BOX[0]) * S.EARTH_RADIUS_M * shrink / 10, (merc[1] - merc[0]) * S.EARTH_RADIUS_M * shrink / 10
+    assert (g["width"], g["height"]) == (round(wide), round(high))
     tiles = grid.tile_boxes(grid.render_grid(boxes))
-    assert tiles.count() == 32 and grid.tile_invariants(tiles, "id").first()["exact"]
+    across, down = math.ceil(round(wide) / S.TILE_PX), math.ceil(round(high) / S.TILE_PX)
+    assert tiles.count() == across * down and grid.tile_invariants(tiles, "id").first()["exact"]
     cells = [(r["left"], r["top"], r["right"], r["bottom"]) for r in tiles.collect()]
-    assert sum((r - l) * (b - t) for l, t, r, b in cells) == 13111 * 7121
+    assert sum((r - l) * (b - t) for l, t, r, b in cells) == round(wide) * round(high)
     rights = {(r["right"], r["top"]): r["tile_east"] for r in tiles.collect()}
     for r in tiles.collect():
         if (r["left"], r["top"]) in rights:
@@ -95,9 +97,9 @@ def test_district_grid_and_tiles(spark):
 
 
 def test_preview_sizes(spark):
-    df = spark.createDataFrame([(80.0, 80.052), (80.0, 81.0), (80.0, 80.001)], "w double, e double")
-    px = df.select(geo.preview_pixels(geo.ground_width_m(F.col("w"), F.col("e"), F.lit(23.17), F.lit(23.17)))).collect()
-    assert px[0][0] == pytest.approx(532, abs=5) and (px[1][0], px[2][0]) == (2048, 256)
+    df = spark.createDataFrame([(5.0, 5.1), (5.0, 9.0), (5.0, 5.0)], "w double, e double")
+    px = df.select(geo.preview_pixels(geo.ground_width_m(F.col("w"), F.col("e"), F.lit(60.0), F.lit(60.0)))).collect()
+    assert [r[0] for r in px] == [556, 2048, 256]  # 0.1 degree at 60 degrees north is 5566 m
 
 
 @settings(max_examples=5, deadline=None)
