@@ -19,16 +19,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landsift.llm.words import SPACED, Words, bounded_batches, mix, pieces, split_words, window_sums
+from landsift.session import cut_lineage
 
 SLICE_BITS = 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 FLUSH = 2 << 20
+TOUCHED_BITS = 27
 
 
 def _least(values: np.ndarray, size: int) -> np.ndarray:
@@ -151,7 +154,8 @@ def _candidates(shared: Broadcast, names: list[str], size: int, bits: int) -> Ca
                 place, of = place[passed], of[passed]
                 if not len(place):
                     continue
-                one, two = (window_sums(words.digests(k), size, base)[place].view(np.int64) for k, base in enumerate(BASES))
+                one, two = (window_sums(words.digests(k), size, base)[place] for k, base in enumerate(BASES))
+                one, two = one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 fresh = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)))
                 at = np.flatnonzero(fresh)
                 length = np.diff(np.append(at, len(place)))
@@ -164,15 +168,45 @@ def _candidates(shared: Broadcast, names: list[str], size: int, bits: int) -> Ca
     return find
 
 
-def _cutter(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Words of each text, those in ``gone`` (places, from and to, as one list) left out."""
+def _touched(gone: DataFrame) -> np.ndarray:
+    """A bit for every value that the first ``TOUCHED_BITS`` bits of a touched text's digest take, 16 MB in all."""
+    slot = F.shiftrightunsigned("d", 64 - TOUCHED_BITS)
+    bits = gone.select(F.shiftrightunsigned(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(d, {64 - TOUCHED_BITS}) % 64 AS INT))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # TOUCHED_BITS bound its rows
+    out = np.zeros(1 << (TOUCHED_BITS - 6), np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _may_be(touched: np.ndarray, digests: pa.Array) -> np.ndarray:
+    """Which digests may belong to a touched text; NULL never does."""
+    slot = (pc.fill_null(digests, 0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - TOUCHED_BITS)).astype(np.int64)
+    found = (touched[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return found & digests.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _chosen(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_may_be(shared.value, batch.column("d"))))
+
+    return choose
+
+
+def _cutter(names: list[str], shared: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words of each text, those in ``gone`` (places, from and to) left out.
+
+    With ``shared`` there is no such column: texts that may be touched are left to others.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if shared is not None:
+                batch = batch.filter(pa.array(~_may_be(shared.value, batch.column("d"))))
             for piece in pieces(batch, "t"):
                 words = split_words(piece.column("t"), SPACED)
                 edge = np.zeros(len(words) + 1, np.int64)
-                gone = piece.column("gone")
+                gone = piece.column("gone") if shared is None else pa.nulls(piece.num_rows)
                 for k in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
                     for begin, stop in gone[k].as_py():
                         edge[words.first[k] + begin] += 1
@@ -202,7 +236,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", s
     Windows are judged on the input. Rows that share an id do not remove from each other; a NULL id is
     larger than any other. NULL text has no words and stays NULL; texts shorter than a window keep all.
     Rows equal in id and text get the same result. Empty tables give empty results. Input columns named
-    like an added one are replaced. Windows are told apart by 128 bits of hash.
+    like an added one are replaced. Windows are told apart by 96 bits of hash.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -214,13 +248,17 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", s
     shared = spark.sparkContext.broadcast(repeated_counters(framed.select("t"), "t", size, bits))
 
     kind = framed.schema["i"].dataType
-    fields = [T.StructField("i", kind), T.StructField("d", T.LongType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("stop", T.IntegerType())]
+    fields = [T.StructField("i", kind), T.StructField("d", T.LongType()), T.StructField("one", T.LongType()), T.StructField("two", T.IntegerType()), T.StructField("begin", T.IntegerType()), T.StructField("stop", T.IntegerType())]
     windows = framed.select("i", "d", "t").mapInArrow(_candidates(shared, ["i", "d"], size, bits), T.StructType(fields))
-    holders = windows.groupBy("one", "two").agg(F.min("i").alias("least"), F.max("i").alias("most"), F.max(F.col("i").isNull()).alias("unnamed"))
-    holders = holders.filter((F.col("least") < F.col("most")) | (F.col("unnamed") & F.col("least").isNotNull())).select("one", "two", "least")
+    holders = windows.groupBy("one", "two").agg(F.min("i").alias("least")).filter(F.col("least").isNotNull())
     later = windows.join(holders, ["one", "two"]).filter(F.col("i").isNull() | (F.col("i") > F.col("least")))
-    gone = later.groupBy("i", "d").agg(F.collect_list(F.array("begin", "stop")).alias("gone"))
-    met = framed.alias("a").join(gone.alias("b"), F.col("a.i").eqNullSafe(F.col("b.i")) & (F.col("a.d") == F.col("b.d")), "left").select("row", "t", "gone")
-    schema = T.StructType([met.schema["row"], T.StructField("found_words", T.LongType()), T.StructField("found_removed", T.LongType()), T.StructField("found_text", T.StringType())])
-    cut = met.mapInArrow(_cutter(["row"]), schema)
+    gone = cut_lineage(later.groupBy("i", "d").agg(F.collect_list(F.array("begin", "stop")).alias("gone")))
+
+    # texts that surely lose nothing are done where they are read; only the rest move to meet their list
+    touched = spark.sparkContext.broadcast(_touched(gone))
+    schema = T.StructType([framed.schema["row"], T.StructField("found_words", T.LongType()), T.StructField("found_removed", T.LongType()), T.StructField("found_text", T.StringType())])
+    whole = framed.select("row", "t", "d").mapInArrow(_cutter(["row"], touched), schema)
+    may = framed.select("row", "t", "i", "d").mapInArrow(_chosen(touched), T.StructType([framed.schema[c] for c in ("row", "t", "i", "d")]))
+    met = may.alias("a").join(gone.alias("b"), F.col("a.i").eqNullSafe(F.col("b.i")) & (F.col("a.d") == F.col("b.d")), "left").select("row", "t", "gone")
+    cut = whole.union(met.mapInArrow(_cutter(["row"]), schema))
     return cut.select(*[F.col("row")[c].alias(c) for c in own], F.col("found_words").alias("n_words"), F.col("found_removed").alias("n_removed"), F.col("found_text").alias("clean_text"))
