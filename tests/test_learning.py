@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from landsift import schema as S
 from landsift.models import knn
 from landsift.models.factory import Classifier, depth_for, make_classifier
-from landsift.models.store import ModelStore, model_key
+from landsift.models.store import ModelStore, content_of, model_key
 from landsift.models.tuning import expand, grid_search
 from landsift.operators import metrics
 from landsift.plans.classify import classified_raster, classify_and_analyze
@@ -257,3 +257,39 @@ def test_report_is_valid_geojson(spark, tmp_path):
     assert body["geometry"] == json.loads(shape) and body["properties"]["summary"]["total_pixels"] == 3
     assert [a["pixel_count"] for a in body["properties"]["individual_class_areas"]] == [0, 2, 0, 0, 1]
     assert areas.dominant_class(areas.class_area_table(image)).first()["name"] == "Water"
+
+
+def test_equal_rows_vote_alike_in_any_order(spark):
+    rows = [(0.0, 0.0, 2), (0.0, 0.0, 0), (0.0, 0.0, 1), (5.0, 5.0, 1)]
+    answers = set()
+    for order in ([0, 1, 2, 3], [2, 1, 0, 3], [1, 2, 3, 0]):
+        train = spark.createDataFrame([rows[k] for k in order], "a double, b double, label int")
+        model = knn.KNearest(["a", "b"], 1).fit(train)
+        answers.add(model.transform(spark.createDataFrame([(0.1, 0.0)], "a double, b double")).first()["classification"])
+    assert answers == {0}
+
+
+def test_model_key_follows_training_content(spark):
+    points = blobs(spark, 30)
+    same = points.repartition(3, "a")
+    other = points.withColumn("label", 2 - F.col("label"))
+    assert content_of(points) == content_of(same) != content_of(other)
+    args = ("gtb", "a", "b", 15, False)
+    keys = [model_key(*args, params=p, bands=b, content=(c,)) for p, b, c in (
+        (None, ["a"], content_of(points)), (None, ["a"], content_of(other)), ({"k": 1}, ["a"], content_of(points)), (None, ["b"], content_of(points)))]
+    assert len(set(keys)) == 4
+
+
+def test_neighbour_models_are_saved_and_half_saved_ones_are_not_used(spark, tmp_path):
+    calls = []
+
+    def sample():
+        calls.append(1)
+        return blobs(spark)
+
+    for _ in range(2):
+        ModelStore(spark, str(tmp_path)).get("k", make_classifier("knn"), sample, ["a", "b"])
+    assert calls == [1]
+    os.remove(tmp_path / "k" / "complete")
+    ModelStore(spark, str(tmp_path)).get("k", make_classifier("knn"), sample, ["a", "b"])
+    assert calls == [1, 1]

@@ -182,3 +182,17 @@ def test_row_expressions_also_run_on_a_stream_of_pixels(spark, tmp_path):
     run = ndvi.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(sink)
     run.awaitTermination(120)
     assert spark.read.parquet(sink).filter("NDVI IS NOT NULL").count() == 50
+
+
+def test_halo_wider_than_a_tile(spark):
+    image = raster(spark, random_raster(11, 14, 13, 4))
+    small, large = (sorted(map(str, N.focal_mode(image, "v", 9, size=size).select("x", "y", "v").collect())) for size in (4, 64))
+    assert small == large
+
+
+def test_hot_key_with_a_null_part(spark):
+    rows = [(1, None, 2.0), (1, None, 4.0), (1, None, None), (None, None, 7.0), (1, 3, 5.0)]
+    df = spark.createDataFrame(rows, "a long, b long, v double")
+    plain = sorted(map(str, M.exact_medians(df, ["a", "b"], ["v"]).collect()))
+    assert plain == sorted(map(str, M.exact_medians(df, ["a", "b"], ["v"], hot_rows=0).collect()))
+    assert len(plain) == 3 and sum("3.0" in r for r in plain) == 1
