@@ -30,7 +30,7 @@ from landsift.session import cut_lineage
 
 SLICE_BITS = 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 TOUCHED_BITS = 27
 
 

@@ -7,7 +7,7 @@ text), never the partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import SparkSession
 
-PIECE_BYTES = 8 << 20
-BATCH_BYTES = 32 << 20
+PIECE_BYTES = 2 << 20
+BATCH_BYTES = 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -55,14 +55,17 @@ class Words:
     distinct: pa.Array
     data: np.ndarray
     text_at: np.ndarray
+    hashed: dict[int, np.ndarray] = field(default_factory=dict)
 
     def __len__(self) -> int:
         return len(self.start)
 
     def digests(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word."""
-        of = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
-        return of[self.code]
+        if seed not in self.hashed:
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
+            self.hashed[seed] = of[self.code]
+        return self.hashed[seed]
 
 
 def split_words(texts: pa.Array, rule: tuple[np.ndarray, np.ndarray]) -> Words:
