@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from json import dumps, loads
 from pathlib import Path
 
 import numpy as np
@@ -26,8 +27,8 @@ PIECE = 4 << 20
 KEPT_WORDS = 1_200_000
 
 
-def _vocabulary(json: str) -> tuple[object, dict[bytes, bytes]]:
-    """The tokenizer and the words it has encoded so far, kept with the worker process, which Spark reuses.
+def _vocabulary(json: str) -> tuple[object, dict[bytes, bytes], Callable[[bytes], bytes]]:
+    """The tokenizer, the words it has encoded so far, and how words are folded; kept with the worker process, which Spark reuses.
 
     Functions come to the workers by value, so what shall outlive a task hangs on the library's module.
     """
@@ -36,19 +37,31 @@ def _vocabulary(json: str) -> tuple[object, dict[bytes, bytes]]:
     store = tokenizers.__dict__.setdefault("_kept_for_spark_tasks", {})
     if json not in store:
         store.clear()
-        store[json] = (tokenizers.Tokenizer.from_str(json), {})
+        store[json] = (tokenizers.Tokenizer.from_str(json), {}, _folding(json))
     return store[json]
 
 
+def _folding(json: str) -> Callable[[bytes], bytes]:
+    """What maps a word to one with equal ids: ASCII words to lower case, if the tokenizer does so too.
+
+    Words that may hold one of its special tokens stay as they are.
+    """
+    rules = loads(json)
+    if '"Lowercase"' not in dumps(rules.get("normalizer") or {}):
+        return lambda word: word
+    marks = {token["content"][:1].encode() for token in rules.get("added_tokens") or []}
+    return lambda word: word.lower() if word.isascii() and not any(m in word for m in marks) else word
+
+
 def _by_word(texts: pa.Array, json: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and where each begins; every distinct word is encoded once."""
-    tokenizer, kept = _vocabulary(json)
+    tokenizer, kept, fold = _vocabulary(json)
     words = split_words(texts, SPACED)
-    distinct = words.distinct.to_pylist()
-    new = [w for w in distinct if w not in kept]
+    distinct = [fold(w) for w in words.distinct.to_pylist()]
+    new = [w for w in dict.fromkeys(distinct) if w not in kept]
     if len(kept) + len(new) > KEPT_WORDS:
         kept.clear()
-        new = distinct
+        new = list(dict.fromkeys(distinct))
     for k in range(0, len(new), 4096):
         some = new[k:k + 4096]
         for word, found in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
@@ -67,7 +80,7 @@ def _by_word(texts: pa.Array, json: str, end_id: int) -> tuple[np.ndarray, np.nd
 
 
 def _by_text(texts: pa.Array, json: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    tokenizer, _ = _vocabulary(json)
+    tokenizer, _, _ = _vocabulary(json)
     found = tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
     rows = [np.array([*x.ids, end_id], np.int32) for x in found]
     return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
@@ -91,7 +104,7 @@ def write_ids(
     docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 1, ident: str = "doc_id", text: str = "text",
     words_apart: bool = False, stripe_bytes: int = 64 << 20, index_rows: int = 2_000,
 ) -> str:
-    """Encode every whole text and write ``doc_id``, ``row`` (ascending with the id) and ``ids``; gives the folder.
+    """Encode every whole text and write ``doc_id``, ``row`` (ascending with the id), ``n_ids`` and ``ids``; gives the folder.
 
     ``tokenizer`` is a vocabulary file on the driver; its content goes to the tasks. ``words_apart`` says
     that it drops white space, so that words may be encoded one by one: set it only for such a
@@ -107,7 +120,7 @@ def write_ids(
     dealt = framed.repartitionByRange(*order).sortWithinPartitions(*order).select("i", "t")
     schema = T.StructType([framed.schema["i"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     coded = dealt.mapInArrow(_encoder(shared, end_id, words_apart), schema)
-    rows = coded.select(F.col("i").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "ids")
+    rows = coded.select(F.col("i").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.size("ids").cast("long").alias("n_ids"), "ids")
     options = {
         "orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": index_rows,
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -134,14 +147,16 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``start`` (ids before it), ``n_tokens`` and ``ids_crc32`` of every row written.
 
-    Lengths are summed by part, the parts' totals (a row each) in one place, and then within each part.
+    Lengths are summed by part (from the lengths alone, without the ids), the parts' totals, a row each, in
+    one place, and then within each part.
     """
     bounded_batches(spark)
     files = read_ids(spark, path)
     schema = T.StructType([files.schema["doc_id"], files.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     rows = files.select("doc_id", "row", "ids").mapInArrow(_summed, schema).withColumn("part", F.shiftright("row", 33))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    lengths = files.select(F.shiftright("row", 33).alias("part"), "n_ids")
+    parts = lengths.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return placed.join(parts, "part").select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
