@@ -127,8 +127,7 @@ def _found(docs: DataFrame, text: Column) -> DataFrame:
     spelled = F.array_sort(F.array_distinct(F.flatten(F.transform("named", lambda n: F.array(n["spelled"], F.upper(n["spelled"]))))), lambda a, b: F.length(b) - F.length(a))
     pattern = F.when(F.size("named") > 0, F.concat(F.lit(f"{PATTERN}|(?<!\\p{{L}})(?:"), F.array_join(spelled, "|"), F.lit(")(?!\\p{L})"))).otherwise(F.lit(PATTERN))
     second = first.withColumn("pattern", pattern)
-    any_ = (F.size("named") > 0) | F.col("t").rlike("[0-9]{3}|@|[0-9]\\.[0-9]")
-    third = second.withColumn("xs", F.when(any_, F.regexp_extract_all("t", F.col("pattern"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    third = second.withColumn("xs", F.coalesce(F.regexp_extract_all("t", F.col("pattern"), F.lit(0)), F.array().cast("array<string>")))
     known = lambda x: F.when(_kind(x) == "name", F.coalesce(F.get(F.filter("named", lambda n: n["x"] == F.lower(x)), F.lit(0))["gender"], F.lit("n"))).otherwise("")
     mentions = F.transform("xs", lambda x: F.struct(x.alias("x"), _kind(x).alias("kind"), _canonical(x, _kind(x)).alias("canon"), known(x).alias("gender")))
     pieces = F.when(F.size("xs") > 0, F.split("t", F.col("pattern"))).otherwise(F.array("t"))

@@ -250,6 +250,15 @@ def test_surrogates_keep_type_identity_and_format(spark):
     assert by[3].clean_text == by[3].text and by[4].clean_text is None and by[5].clean_text == "" and by[4].n_entities == 0
 
 
+def test_an_entity_is_found_where_the_text_holds_nothing_else(spark):
+    entities = [
+        ("phone", "+33 14 20 30 40 50"), ("secret", "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6"), ("secret", "deadbeefcafebabe" * 2), ("secret", "DEADBEEFCAFEBABE" * 2),
+        ("account", "GB29 ABCD EFGH IJKL MN"), ("address", "1.2.3.4"), ("email", "ann@corp.com"), ("card", "4111 1111 1111 1111"), ("social", "123-45-6789")]
+    docs = spark.createDataFrame([(k, f"so {x} it is") for k, (_, x) in enumerate(entities)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [(m.kind, m.x) for m in r.mentions] for r in surrogates._found(docs, F.col("text")).collect()}
+    assert got == {k: [entity] for k, entity in enumerate(entities)}
+
+
 def test_colliding_surrogates_try_again(spark, monkeypatch):
     """With a space of ten surrogates, nine addresses stay distinct and none equals an original."""
     small = lambda key, kind, canon, gender, attempt: F.concat(F.lit("9.9.9."), (F.abs(F.xxhash64(canon, attempt)) % 12).cast("string"))
