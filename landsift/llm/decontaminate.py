@@ -99,8 +99,9 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[done:]]).decode()
 
 
-def _shard(texts: pa.Array, phrases: Phrases, found: list[list[int]] | None = None, named: list[list[str]] | None = None) -> list[tuple]:
-    """The added columns of each text. ``found`` and ``named``: word ranges and items of earlier blocks."""
+def _shard(texts: pa.Array, phrases: Phrases, alone: bool, found: list[list[int]] | None = None, named: list[list[str]] | None = None) -> list[tuple]:
+    """The added columns of each text. ``alone``: there is no other block, so texts are cut until no window is left.
+    ``found`` and ``named``: word ranges and items of earlier blocks."""
     words = split_words(texts, ALNUM_LOWER)
     hit, pairs = _search(words, phrases)
     for k, ranges in enumerate(found or []):
@@ -117,8 +118,8 @@ def _shard(texts: pa.Array, phrases: Phrases, found: list[list[int]] | None = No
     runs = {k: _runs(hit[words.first[k]:words.first[k + 1]]) for k in np.flatnonzero(n_hit).tolist()}
     spans = {k: _spans(words, k, r) for k, r in runs.items()}
     clean = {k: _cut(whole[k], s) for k, s in spans.items()}
-    if clean:  # what a cut brings together may be a window again
-        again = _shard(pa.array(list(clean.values()), pa.string()), phrases)
+    if clean and alone:  # what a cut brings together may be a window again
+        again = _shard(pa.array(list(clean.values()), pa.string()), phrases, alone)
         clean = {k: row[4] for k, row in zip(clean, again, strict=True)}
     return [
         (int(counts[k]), int(n_hit[k]), sorted(items.get(k, ())), [{"start": a, "stop": b} for a, b in spans.get(k, [])],
@@ -154,29 +155,50 @@ def decontaminate(
     Empty tables give empty results. Input columns named like an added one are replaced.
 
     The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text (or one item), one pass
-    over the documents each; between passes the rows are written to the checkpoint folder. What a cut
-    brings together is held against the windows of the last block.
+    over the documents each; between passes the rows are written to the checkpoint folder. The hits of
+    all blocks are cut together. With more than one block, texts that lost words then meet all blocks
+    again, until none loses any, so the result does not depend on the blocks.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    fields = [T.StructField(f"found_{f.name}", f.dataType) for f in ADDED.fields]
     own = [c for c in docs.columns if c.lower() not in ADDED.names or c == text]
-    frame = docs.select(*own)
-    schema = T.StructType([*frame.schema.fields, *fields])
     items = benchmark.select(F.col(item).cast("string"), F.col(item_text)).filter(F.col(item_text).isNotNull())
-    for k, block in enumerate(_blocks(items, block_bytes)):
-        if k:
-            frame = cut_lineage(frame)
-        frame = frame.mapInArrow(_searcher(spark.sparkContext.broadcast(Phrases.of(block, size)), text, shard_bytes, own, later=k > 0), schema)
+    frame, blocks = _passes(docs.select(*own), text, items, size, shard_bytes, block_bytes)
+    cut = F.size("found_hit_words") > 0
+    while blocks > 1:
+        frame = cut_lineage(frame)
+        if frame.filter(cut).isEmpty():
+            break
+        left = frame.select(F.struct(*frame.columns).alias("row"), F.when(cut, F.col("found_clean_text")).alias("left"))
+        again, _ = _passes(left, "left", items, size, shard_bytes, block_bytes)
+        clean = F.coalesce("found_clean_text", F.col("row")["found_clean_text"])
+        kept = [c for c in frame.columns if c not in ("found_clean_text", "found_hit_words")]
+        frame = again.select(*[F.col("row")[c].alias(c) for c in kept], clean.alias("found_clean_text"), "found_hit_words")
     return frame.select(*[c for c in own if c.lower() not in ADDED.names], *[F.col(f"found_{n}").alias(n) for n in ADDED.names if n != "hit_words"])
 
 
-def _searcher(shared: Broadcast, text: str, shard_bytes: int, own: list[str], later: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _passes(frame: DataFrame, text: str, items: DataFrame, size: int, shard_bytes: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """``frame`` with the added columns, named ``found_...``, after a pass for each block of items; the number of blocks."""
+    spark, own = frame.sparkSession, frame.columns
+    schema = T.StructType([*frame.schema.fields, *[T.StructField(f"found_{f.name}", f.dataType) for f in ADDED.fields]])
+    blocks, done = _blocks(items, block_bytes), 0
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        if done:
+            frame = cut_lineage(frame)
+        shared = spark.sparkContext.broadcast(Phrases.of(block, size))
+        frame = frame.mapInArrow(_searcher(shared, text, shard_bytes, own, alone=not done and following is None, later=done > 0), schema)
+        block, done = following, done + 1
+    return frame, done
+
+
+def _searcher(shared: Broadcast, text: str, shard_bytes: int, own: list[str], alone: bool, later: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, text, shard_bytes):
                 earlier = [piece.column(f"found_{n}").to_pylist() for n in ("hit_words", "items")] if later else []
-                columns = zip(*_shard(piece.column(text), shared.value, *earlier), strict=True)
+                columns = zip(*_shard(piece.column(text), shared.value, alone, *earlier), strict=True)
                 new = [pa.array(x, kind) for x, kind in zip(columns, ARROW, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in own), *new], names=[*own, *(f"found_{n}" for n in ADDED.names)])
 

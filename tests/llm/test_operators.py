@@ -82,6 +82,16 @@ def test_cuts_go_on_until_no_window_is_left_and_blocks_add_up(spark):
     assert [(r.n_hit, r["items"], r.spans) for r in many] == [(r.n_hit, r["items"], r.spans) for r in one]
 
 
+def test_clean_text_does_not_depend_on_blocks(spark):
+    item = " ".join(f"a{k}" for k in range(12))
+    texts = [f"x a0 a1 a2 {item} a3 a4 a5 a6 a7 a8 a9 a10 a11 y", "p q b c r s", "p b q r c s", "untouched", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, item), (2, "b c"), (3, "q r")], "item_id long, text string").coalesce(1)
+    one, many = (decontaminate.decontaminate(docs, bench, block_bytes=b).orderBy("doc_id").collect() for b in (1 << 20, 1))
+    assert [r.clean_text for r in one] == ["x  y", "p  s", "p  s", "untouched", None, ""]
+    assert many == one
+
+
 # ---- substring deduplication ----
 
 
