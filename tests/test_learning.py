@@ -293,3 +293,19 @@ def test_neighbour_models_are_saved_and_half_saved_ones_are_not_used(spark, tmp_
     os.remove(tmp_path / "k" / "complete")
     ModelStore(spark, str(tmp_path)).get("k", make_classifier("knn"), sample, ["a", "b"])
     assert calls == [1, 1]
+
+
+def test_the_search_query_covers_the_whole_grid(spark, monkeypatch):
+    from landsift.catalog import learning
+
+    asked = {}
+
+    def search(sample, bands, ident, grids, folds=5):
+        asked.update(bands=bands, grids=grids, folds=folds)
+        raise InterruptedError
+
+    monkeypatch.setattr(learning, "_sides", lambda spark, d: (None, None))
+    monkeypatch.setattr(learning, "grid_search", search)
+    with pytest.raises(InterruptedError):
+        learning.search_tree_settings(spark, "")
+    assert asked == {"bands": learning.FEATURES, "grids": S.TUNING_GRIDS, "folds": 5}
