@@ -309,3 +309,14 @@ def test_the_search_query_covers_the_whole_grid(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         learning.search_tree_settings(spark, "")
     assert asked == {"bands": learning.FEATURES, "grids": S.TUNING_GRIDS, "folds": 5}
+
+
+def test_the_sweep_query_covers_every_limit_season_and_model(spark, monkeypatch):
+    from landsift.catalog import learning
+
+    asked = {}
+    monkeypatch.setattr(learning, "archive", lambda spark, d: None)
+    monkeypatch.setattr(learning.fx, "points", lambda spark, d: spark.createDataFrame([(1, 2)], "point_id int, label int"))
+    monkeypatch.setattr(learning, "run_sweep", lambda archive, points, seasons, clouds, models=None: asked.update(seasons=seasons, clouds=clouds, models=models))
+    learning.sweep_runs(spark, "")
+    assert asked["clouds"] == S.SWEEP_CLOUDS and asked["models"] in (None, S.SWEEP_MODELS) and set(S.SWEEP_SEASONS) <= set(asked["seasons"])
