@@ -320,3 +320,26 @@ def test_the_sweep_query_covers_every_limit_season_and_model(spark, monkeypatch)
     monkeypatch.setattr(learning, "run_sweep", lambda archive, points, seasons, clouds, models=None: asked.update(seasons=seasons, clouds=clouds, models=models))
     learning.sweep_runs(spark, "")
     assert asked["clouds"] == S.SWEEP_CLOUDS and asked["models"] in (None, S.SWEEP_MODELS) and set(S.SWEEP_SEASONS) <= set(asked["seasons"])
+
+
+def test_queries_use_the_shipped_models(spark, monkeypatch):
+    from landsift.catalog import learning
+
+    asked = []
+
+    def note(model, params=None):
+        asked.append((S.normalise_model(model), params))
+        raise InterruptedError
+
+    monkeypatch.setattr(learning, "_sides", lambda spark, d: (None, None))
+    monkeypatch.setattr(learning, "_stack_sides", lambda spark, d: (None, None))
+    monkeypatch.setattr(learning, "archive", lambda spark, d: None)
+    monkeypatch.setattr(learning.fx, "points", lambda spark, d: spark.createDataFrame([(1, 2)], "point_id int, label int"))
+    monkeypatch.setattr(learning, "make_classifier", note)
+    monkeypatch.setattr(learning, "compare_stacks", lambda train, test, stacks, model, params=None: note(model, params))
+    monkeypatch.setattr(learning, "leave_one_out", lambda train, test, bands, model, params=None: note(model, params))
+    monkeypatch.setattr(learning, "classify_and_analyze", lambda archive, points, request, rings, model=S.DEFAULT_MODEL, params=None, smoothing=True: note(model, params))
+    for name in ("random_forest", "boosted_trees", "feature_stacks_compared", "band_left_out", "classified_area", "classified_area_table"):
+        with pytest.raises(InterruptedError):
+            getattr(learning, name)(spark, "")
+    assert asked == [("rf", None), *[(S.DEFAULT_MODEL, None)] * 5]
