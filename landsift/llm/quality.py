@@ -119,3 +119,13 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
     }
     own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added]
     return summed.select(*own, *[c.alias(n) for n, c in added.items()])
+
+
+def passed(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
+    """The rows of ``judge`` that are kept.
+
+    A plain filter would be pushed below the projections of ``judge`` and repeat them wherever their
+    results are named; a generator that gives no row for a rejected document is not.
+    """
+    judged = judge(docs, rules, text)
+    return judged.select(F.inline(F.when(F.col("kept"), F.array(F.struct(*[F.col(f"`{c}`") for c in judged.columns])))))

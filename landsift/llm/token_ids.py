@@ -15,75 +15,87 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landsift.llm.words import SPACED, bounded_batches, pieces, split_words
+from landsift.llm.words import SPACED, SPACED_LOWER, bounded_batches, pieces, split_words
 from landsift.session import shared_folder
 
 PIECE = 4 << 20
-KEPT_WORDS = 1_200_000
-
-
-def _vocabulary(json: str) -> tuple[object, dict[bytes, bytes], Callable[[bytes], bytes]]:
-    """The tokenizer, the words it has encoded so far, and how words are folded; kept with the worker process, which Spark reuses.
-
-    Functions come to the workers by value, so what shall outlive a task hangs on the library's module.
-    """
-    import tokenizers
-
-    store = tokenizers.__dict__.setdefault("_kept_for_spark_tasks", {})
-    if json not in store:
-        store.clear()
-        store[json] = (tokenizers.Tokenizer.from_str(json), {}, _folding(json))
-    return store[json]
-
-
-def _folding(json: str) -> Callable[[bytes], bytes]:
-    """What maps a word to one with equal ids: ASCII words to lower case, if the tokenizer does so too.
-
-    Words that may hold one of its special tokens stay as they are.
-    """
+KEPT_BYTES = 96 << 20
+ENTRY_BYTES = 200  # what a dictionary entry costs beside its bytes
+JOINED = 512
+
+
+class _Encoder:
+    """A tokenizer and the ids of words it has met; one task's, gone with it."""
+
+    def __init__(self, json: str, end_id: int, kept_bytes: int = KEPT_BYTES):
+        import tokenizers
+
+        self.tokenizer, self.end_id = tokenizers.Tokenizer.from_str(json), end_id
+        self.marks = _marks(json)
+        self.kept: dict[bytes, bytes] = {}
+        self.room = kept_bytes
+
+    def _new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word. Many are joined to one text; a token belongs to the word its offset lies in."""
+        found: dict[bytes, bytes] = {}
+        groups = [words[k:k + JOINED] for k in range(0, len(words), JOINED)]
+        for k in range(0, len(groups), 8):
+            some = [[w.decode() for w in group] for group in groups[k:k + 8]]
+            coded = self.tokenizer.encode_batch([" ".join(texts) for texts in some], add_special_tokens=False)
+            for group, texts, one in zip(groups[k:k + 8], some, coded, strict=True):
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                first = np.fromiter((o[0] for o in one.offsets), np.int64, len(one.ids))
+                flat = np.array(one.ids, np.int32).tobytes()
+                cut = [0, *(4 * np.searchsorted(first, ends)).tolist()]
+                found.update((w, flat[a:b]) for w, a, b in zip(group, cut[:-1], cut[1:], strict=True))
+        return found
+
+    def by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and where each begins; a word is encoded once a piece at most, a kept one never again."""
+        words = split_words(texts, self._rule(texts))
+        distinct = words.distinct.to_pylist()
+        coded = [self.kept.get(w) for w in distinct]
+        new = self._new_words([w for w, c in zip(distinct, coded, strict=True) if c is None])
+        if self.room > 0:
+            for word, ids in new.items():
+                self.kept[word] = ids
+                self.room -= len(word) + len(ids) + ENTRY_BYTES
+                if self.room <= 0:
+                    break
+        coded = [new[w] if c is None else c for w, c in zip(distinct, coded, strict=True)]
+        coded.append(np.int32(self.end_id).tobytes())
+        at = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+        # each text is its words and, as one word more, the end
+        ends = words.first[1:]
+        order = np.insert(words.code.astype(np.int32), ends, len(distinct))
+        taken = ids.take(pa.array(order))
+        return taken.values.to_numpy(), taken.offsets.to_numpy()[np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))]
+
+    def _rule(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Fold A-Z if the tokenizer does so too, and no text holds what might become a special token of it."""
+        if self.marks is None or any(pc.any(pc.match_substring(texts, m, ignore_case=True)).as_py() for m in self.marks):
+            return SPACED
+        return SPACED_LOWER
+
+    def by_text(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        rows = [np.array([*x.ids, self.end_id], np.int32) for x in found]
+        return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
+
+def _marks(json: str) -> list[str] | None:
+    """The special tokens of a tokenizer that puts texts in lower case, None for any other."""
     rules = loads(json)
     if '"Lowercase"' not in dumps(rules.get("normalizer") or {}):
-        return lambda word: word
-    marks = {token["content"][:1].encode() for token in rules.get("added_tokens") or []}
-    return lambda word: word.lower() if word.isascii() and not any(m in word for m in marks) else word
-
-
-def _by_word(texts: pa.Array, json: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts and where each begins; every distinct word is encoded once."""
-    tokenizer, kept, fold = _vocabulary(json)
-    words = split_words(texts, SPACED)
-    distinct = [fold(w) for w in words.distinct.to_pylist()]
-    new = [w for w in dict.fromkeys(distinct) if w not in kept]
-    if len(kept) + len(new) > KEPT_WORDS:
-        kept.clear()
-        new = list(dict.fromkeys(distinct))
-    for k in range(0, len(new), 4096):
-        some = new[k:k + 4096]
-        for word, found in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            kept[word] = np.array(found.ids, np.int32).tobytes()
-    coded = [kept[w] for w in distinct]
-    size = np.array([len(c) // 4 for c in coded], np.int64)
-    flat, at = np.frombuffer(b"".join(coded), np.int32), np.cumsum(size) - size
-    n = np.diff(words.first)
-    length = size[words.code] if len(words) else np.zeros(0, np.int64)
-    total = int(length.sum())
-    source = np.arange(total) + np.repeat((at[words.code] if len(words) else at[:0]) - (np.cumsum(length) - length), length)
-    ids = np.full(total + len(n), end_id, np.int32)
-    ids[np.arange(total) + np.repeat(np.repeat(np.arange(len(n)), n), length)] = flat[source]
-    sums = np.concatenate(([0], np.cumsum(length)))
-    return ids, sums[words.first] + np.arange(len(n) + 1)
-
-
-def _by_text(texts: pa.Array, json: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    tokenizer, _, _ = _vocabulary(json)
-    found = tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-    rows = [np.array([*x.ids, end_id], np.int32) for x in found]
-    return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+        return None
+    return [token["content"] for token in rules.get("added_tokens") or []]
 
 
 def _encoder(shared: Broadcast, end_id: int, words_apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -91,9 +103,10 @@ def _encoder(shared: Broadcast, end_id: int, words_apart: bool) -> Callable[[Ite
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = _Encoder(shared.value, end_id)
         for batch in batches:
             for piece in pieces(batch, "t", PIECE):
-                ids, at = (_by_word if words_apart else _by_text)(piece.column("t"), shared.value, end_id)
+                ids, at = (encoder.by_word if words_apart else encoder.by_text)(piece.column("t"))
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([piece.column("i"), lists], names=["i", "ids"])
 
@@ -102,14 +115,16 @@ def _encoder(shared: Broadcast, end_id: int, words_apart: bool) -> Callable[[Ite
 
 def write_ids(
     docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 1, ident: str = "doc_id", text: str = "text",
-    words_apart: bool = False, stripe_bytes: int = 64 << 20, index_rows: int = 2_000,
+    words_apart: bool = False, stripe_bytes: int = 16 << 20, index_rows: int = 2_000,
 ) -> str:
     """Encode every whole text and write ``doc_id``, ``row`` (ascending with the id), ``n_ids`` and ``ids``; gives the folder.
 
     ``tokenizer`` is a vocabulary file on the driver; its content goes to the tasks. ``words_apart`` says
     that it drops white space, so that words may be encoded one by one: set it only for such a
     tokenizer. NULL text is empty and has the end id alone. NULL ids come first; rows that share an id
-    stay apart and keep some order; an empty table makes a folder without rows. Other columns are not read.
+    stay apart and keep some order; an empty table makes a folder without rows. Other columns are not read,
+    so they may have any name. A text has no length limit but must fit a task several times over, with its ids.
+    What a task keeps of words is bounded by ``KEPT_BYTES`` and ends with the task.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import odd
 
 import corpus_pipeline
-from landsift.llm import decontaminate, ngram_join, sharding, substrings, surrogates, token_ids, warc
+from landsift.llm import decontaminate, ngram_join, quality, sharding, substrings, surrogates, token_ids, warc
 from landsift.llm.components import components
 from landsift.llm.fmindex import FMIndex, WaveletTree, suffix_order
 from landsift.session import shared_folder
@@ -295,3 +295,17 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         assert docs.columns[:5] == corpus_pipeline.COLUMNS
     assert {"shard", "slot"} <= set(docs.columns)
     assert docs.count() == docs.select("doc_id", "text").distinct().count()
+
+
+# ---- pipeline: the quality stage ----
+
+
+def test_rejected_documents_are_left_out_without_judging_them_twice(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    judged, kept = quality.judge(docs), quality.passed(docs)
+    assert kept.columns == judged.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, judged.filter("kept").collect()))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter " in line and "zip_with" in line]
+    assert plan.count("zip_with") <= 2 * judged._jdf.queryExecution().optimizedPlan().toString().count("zip_with")
+    assert quality.passed(docs.limit(0)).collect() == []
