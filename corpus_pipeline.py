@@ -23,7 +23,7 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines. NULL texts do not pass."""
-    return _with_text(quality.judge(docs.select(*COLUMNS)).filter("kept"), "clean_text")
+    return _with_text(quality.passed(docs.select(*COLUMNS)), "clean_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
