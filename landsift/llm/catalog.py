@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from landsift.llm import checks, decontaminate, lines, mixing, ngram_join, quality, sharding, substrings, surrogates, token_ids, warc
+from landsift.llm import checks, decontaminate, lines, mixing, ngram_join, quality, runs, sharding, substrings, surrogates, token_ids, warc
 from landsift.llm.settings import MIX
 from landsift.session import shared_folder
 
@@ -141,6 +141,49 @@ def op5(spark, d):
         F.coalesce(F.col("kinds")[k], F.lit(0)).alias(f"n_{k}") for k in ("email", "address", "card", "phone", "secret", "name")])
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; of a tenth of all documents, chosen by the CRC of the id, the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = quality.words_of(F.col("text"))
+    marked = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    placed = marked.withColumns({"n": F.size("w").cast("long")}).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    timed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("long"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.transform("w", lambda x, i: F.get("w", place(i).cast("int")))
+    return timed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs", f"""
+    WITH RECURSIVE {checks.CRC_TABLE},
+    hashed AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '{checks.WORD}') AS w,
+        CAST(xor({checks.CRC_SQL.format("CAST(doc_id AS VARCHAR)")}, 4294967295) AS BIGINT) AS h FROM documents, (SELECT list(v ORDER BY k) AS crc_list FROM crc)),
+    placed AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN doc_id IS NOT NULL AND h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed),
+    planted AS MATERIALIZED (SELECT doc_id, rid, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n),
+        lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM placed),
+    grams AS MATERIALIZED (SELECT rid, n, i, md5(w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS x FROM planted, unnest(range(0, n - 2)) u(i)),
+    pairs AS MATERIALIZED (SELECT l.rid, l.i, r.i - l.i AS p FROM grams l JOIN grams r ON l.rid = r.rid AND l.x = r.x AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+    stretches AS (SELECT rid, p, min(i) AS s, count(*) + 2 + p AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS island FROM pairs) z GROUP BY rid, p, island),
+    found AS MATERIALIZED (SELECT rid, s, len, min(p) AS p FROM stretches WHERE len >= greatest(6, 4 * p) GROUP BY rid, s, len),
+    gone AS (SELECT DISTINCT rid, v.j AS j FROM found, unnest(range(s + p, s + len)) v(j)),
+    kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT rid, i, w[i + 1] AS x FROM planted, unnest(range(0, n)) u(i)) y
+        WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = y.rid AND gone.j = y.i) GROUP BY rid),
+    listed AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS l,
+        min({{'a': -len, 'b': s, 'c': p}}) AS best FROM found GROUP BY rid)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.b AS BIGINT) AS start, CAST(-best.a AS BIGINT) AS length, CAST(best.c AS BIGINT) AS period,
+    CAST(1000 * -best.a // best.c AS BIGINT) AS exponent_milli, sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+    FROM planted LEFT JOIN listed USING (rid) LEFT JOIN kept USING (rid)""")
+def op13(spark, d):
+    found = runs.collapse_runs(with_planted_periods(table(spark, d, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    # digests first, so that neither texts nor lists are worked out twice
+    small = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("clean_text", 256).alias("collapsed_sha256"))
+    length = -F.col("best")["l"]
+    return small.select(
+        "doc_id", "n_runs", F.col("best")["s"].alias("start"), length.alias("length"), F.col("best")["p"].alias("period"),
+        F.floor(1000 * length / F.col("best")["p"]).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL

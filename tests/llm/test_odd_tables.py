@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import odd
 
-from landsift.llm import decontaminate, lines, mixing, ngram_join, quality, sharding, substrings, surrogates
+from landsift.llm import decontaminate, lines, mixing, ngram_join, quality, runs, sharding, substrings, surrogates
 from landsift.llm.catalog import CHECKS, QUERIES
 from landsift.llm.settings import MIX
 
@@ -45,6 +45,7 @@ OPERATORS = {
     "substrings": lambda d, b: substrings.remove_repeats(d),
     "mixing": lambda d, b: mixing.mix_documents(d, MIX),
     "surrogates": lambda d, b: surrogates.replace_entities(d, "key"),
+    "runs": lambda d, b: runs.collapse_runs(d),
     "keep_one": lambda d, b: ngram_join.keep_one(d),
 }
 
