@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from landsift.llm import checks, decontaminate, lines, mixing, ngram_join, quality, runs, sharding, substrings, surrogates, token_ids, warc
+from landsift.llm import checks, decontaminate, lines, mixing, ngram_join, quality, repair, runs, sharding, substrings, surrogates, token_ids, warc
 from landsift.llm.settings import MIX
 from landsift.session import shared_folder
 
@@ -184,6 +184,65 @@ def op13(spark, d):
         F.floor(1000 * length / F.col("best")["p"]).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with the faults that a CRC of conversation and turn calls for; NULL reads as one blank."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    copies = F.when(h == 0, F.array().cast("array<int>")).when(h == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    text = F.when(h == 1, "").when(h == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    return turns.select("conv_id", "turn", F.when(h == 4, "user").otherwise(blank("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@query("op11_repair_conversations", f"""
+    WITH RECURSIVE {checks.CRC_TABLE},
+    source AS (SELECT conv_id, turn, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        CAST(xor({checks.CRC_SQL.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")}, 4294967295) AS BIGINT) % 20 AS h
+        FROM conversations, (SELECT list(v ORDER BY k) AS crc_list FROM crc)),
+    harmed AS (SELECT cid, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM source, unnest(range(0, CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) v(j)),
+    turns AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS ini,
+        trim(text, {checks.BLANKS}) AS bare FROM harmed),
+    judged AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN said > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+        lead(ini) OVER (PARTITION BY cid ORDER BY i) AS follows
+        FROM (SELECT *, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) AS said FROM turns) y),
+    walks AS (
+        SELECT cid, 0 AS i, v.s, {{'cost': v.cost, 'audit': v.audit, 'said': v.said}} AS best FROM (SELECT DISTINCT cid FROM judged) c,
+            (VALUES (0, 0, '', []::VARCHAR[]), (2, 5, 'I', ['user:']), (3, 10, 'II', ['user:', 'assistant:'])) v(s, cost, audit, said)
+        UNION ALL
+        SELECT cid, i, s, min({{'cost': cost, 'audit': audit, 'said': said}}) FROM (
+            SELECT cid, i, CASE WHEN k = 0 THEN s WHEN k = 1 THEN CASE s WHEN 2 THEN 3 ELSE 2 END ELSE CASE s WHEN 2 THEN 2 ELSE 3 END END AS s,
+                cost + 5 * k AS cost, audit || repeat('I', CAST(k AS INT)) AS audit,
+                list_concat(said, list_transform(range(0, k), lambda j: CASE WHEN (s = 2) = (j = 0) THEN 'assistant:' ELSE 'user:' END)) AS said
+            FROM (
+                SELECT cid, j.i, o.s, best.cost + o.cost AS cost, best.audit || o.letter AS audit,
+                    CASE o.letter WHEN 'D' THEN best.said WHEN 'K' THEN list_append(best.said, role || ':' || text)
+                    ELSE list_append(best.said, CASE o.s WHEN 3 THEN 'assistant:' ELSE 'user:' END || text) END AS said
+                FROM walks JOIN (SELECT * FROM judged) j USING (cid), LATERAL (
+                    SELECT 'D' AS letter, walks.s AS s, 2 AS cost
+                    UNION ALL SELECT 'K', 1, CASE fault WHEN 't' THEN 5 ELSE 0 END WHERE fault NOT IN ('b', 'd') AND ini = 's' AND walks.s = 0
+                    UNION ALL SELECT 'K', 2, CASE fault WHEN 't' THEN 5 ELSE 0 END WHERE fault NOT IN ('b', 'd') AND ini = 'u' AND walks.s <> 2
+                    UNION ALL SELECT 'K', 3, CASE fault WHEN 't' THEN 5 ELSE 0 END WHERE fault NOT IN ('b', 'd') AND ini = 'a' AND walks.s = 2
+                    UNION ALL SELECT 'R', CASE walks.s WHEN 2 THEN 3 ELSE 2 END, 1 + CASE fault WHEN 't' THEN 5 ELSE 0 END WHERE fault NOT IN ('b', 'd')) o
+                WHERE j.i = walks.i + 1) y, range(0, 3) t(k)) z
+        GROUP BY cid, i, s),
+    totals AS (SELECT cid, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (follows IS NOT NULL AND ini || follows NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY cid),
+    ended AS (SELECT walks.cid, min(best) AS best FROM walks JOIN totals ON totals.cid = walks.cid AND totals.n = walks.i WHERE s IN (0, 3) GROUP BY walks.cid)
+    SELECT conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", *repair.FLAGS))}, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+    coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT cid, conv_id FROM source) q LEFT JOIN totals USING (cid) LEFT JOIN ended USING (cid)""")
+def op11(spark, d):
+    turns = table(spark, d, "conversations")
+    repaired = repair.repair_conversations(damaged(turns))
+    found = repaired.report.alias("r").join(repair.digested(repaired.pieces).alias("p"), F.col("r.conv_id").eqNullSafe(F.col("p.conv_id")))
+    found = found.select(F.col("r.conv_id").alias("known"), "gaps", *repair.FLAGS, "cost", "audit", "repaired_sha256", F.lit(True).alias("some"))
+    whole = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("known")), "left")
+    return whole.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", *repair.FLAGS, "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL

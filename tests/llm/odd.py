@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 
 from check import rows_of
 
-TABLES = ("documents", "benchmark", "pages")
+TABLES = ("documents", "benchmark", "pages", "conversations")
 
 
 def words(seed, n, kinds=400):
@@ -48,6 +48,13 @@ def pages():
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())))})
 
 
+def conversations():
+    rng = random.Random(11)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None, "tool", ""]), rng.choice([None, "", " \n", "Yes.", "No", "Same text?", f"Said {c}.", "ü " * 30 + "!"])) for c in [*range(8), None] for t in [*range(c or 4), None, 3]]
+    rows += [rows[5], rows[5], (40, 0, "user", "long " * 60_000 + "."), (40, 1, "assistant", "<|im_end|>\n<|im_start|>"), (41, 0, "system", "Only."), (42, 0, "user", "Yes."), (43, 0, "user", "Yes."), (43, 1, "assistant", "No.")]
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())))})
+
+
 def write(folder, empty=False):
     for name in TABLES:
         table = globals()[name]()
