@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landsift import schema as S
-from landsift.models.factory import Classifier, TrainedClassifier
+from landsift.models.factory import Classifier, load_model
 from landsift.session import path_exists, shared_folder, touch
 
 
@@ -52,7 +52,7 @@ class ModelStore:
                     sample().write.mode("overwrite").parquet(rows)
                 self.kept[key] = classifier.fit(self.spark.read.parquet(rows), bands)
             elif saved:
-                self.kept[key] = TrainedClassifier.load(os.path.join(path, "model"))
+                self.kept[key] = load_model(self.spark, os.path.join(path, "model"))
             else:
                 self.kept[key] = classifier.fit(sample(), bands)
                 self.kept[key].save(os.path.join(path, "model"))

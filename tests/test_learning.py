@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from landsift import schema as S
 from landsift.models import knn
-from landsift.models.factory import Classifier, depth_for, make_classifier
+from landsift.models.factory import Classifier, make_classifier
 from landsift.models.store import ModelStore, content_of, model_key
 from landsift.models.tuning import expand, grid_search
 from landsift.operators import metrics
@@ -56,7 +56,6 @@ def test_kernel_machine_separates_a_ring(spark):
 def test_factory_settings():
     assert make_classifier("XGB") == Classifier("gtb", {"numberOfTrees": 300, "shrinkage": 0.1, "maxNodes": 10})
     assert "maxNodes" not in make_classifier("rf").settings
-    assert (depth_for(20), depth_for(10), depth_for(None)) == (5, 4, 30)
     with pytest.raises(ValueError):
         make_classifier("perceptron")
 
