@@ -35,12 +35,13 @@ def confusion_matrix(df: DataFrame, classes: list[int] | None = None, by: list[s
     return cells.join(counts, [*by, "label", "classification"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def confusion_matrix_filled(matrix: DataFrame) -> DataFrame:
-    """Square form over the labels that occur on either side."""
-    seen = matrix.select(F.col("label").alias("k")).union(matrix.select("classification")).distinct()
-    both = seen.agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    cells = both.select("ks", F.explode("ks").alias("label")).select("label", F.explode("ks").alias("classification"))
-    return cells.join(matrix, ["label", "classification"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def confusion_matrix_filled(matrix: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Square form over the labels that occur on either side, in each group."""
+    by = by or []
+    seen = matrix.select(*by, F.col("label").alias("k")).union(matrix.select(*by, "classification")).distinct()
+    both = seen.groupBy(*by).agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    cells = both.select(*by, "ks", F.explode("ks").alias("label")).select(*by, "label", F.explode("ks").alias("classification"))
+    return cells.join(matrix, [*by, "label", "classification"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def overall(matrix: DataFrame, by: list[str] | None = None) -> DataFrame:
