@@ -11,6 +11,8 @@ from landsift.functions import geo
 from landsift.session import cut_lineage
 
 SAFETY = 0.99
+CROWD = 64  # distinct positions that a cell may hold
+FINEST_M = 0.005
 
 
 def metric_cells(cell_m: float, max_abs_lat: float) -> tuple[Column, Column]:
@@ -42,6 +44,17 @@ def extent(points: DataFrame) -> tuple[float, float]:
     return lat, math.hypot(width, math.radians(row["n"] - row["s"]) * geo.SPHERE_M)
 
 
+def uncrowded_cell(targets: DataFrame, by: list[str], cell: float, growth: int, max_lat: float) -> float:
+    """The cell size, made finer until no cell holds a crowd of positions; a count per cell a step."""
+    while cell > FINEST_M:
+        cx, cy = metric_cells(cell, max_lat)
+        fullest = targets.groupBy(*by, cx.alias("cx"), cy.alias("cy")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if fullest is None or fullest <= CROWD:
+            break
+        cell /= growth
+    return cell
+
+
 def nearest(a: DataFrame, b: DataFrame, by: list[str], first_cell_m: float = 10.0, growth: int = 4, skip_self: bool = False) -> DataFrame:
     """Distance in metres from every distinct position of ``a`` to the nearest of ``b``.
 
@@ -49,12 +62,13 @@ def nearest(a: DataFrame, b: DataFrame, by: list[str], first_cell_m: float = 10.
     positions without one go on to the next, larger, cell. Equal positions are
     merged first, so copies cost nothing, and what is still open at a large
     cell has no close neighbour, so it is thin. Start near the point spacing (10 m
-    for pixel centres): then a cell never holds many positions.
+    for pixel centres); where positions crowd a cell of that size, the search
+    starts with finer ones, down to ``FINEST_M``, so no cell is a key of many rows.
     ``skip_self`` is for a table against itself: a repeated position is at 0.
     """
     where = [*by, "lon", "lat"]
-    open_set = a.groupBy(*where).agg(F.count("*").alias("n"))
-    targets = b.select(*where).distinct()
+    open_set = cut_lineage(a.groupBy(*where).agg(F.count("*").alias("n")))
+    targets = cut_lineage(b.select(*where).distinct())
     (lat_a, _), (lat_b, _) = extent(open_set), extent(targets)
     _, reach = extent(open_set.select("lon", "lat").unionByName(targets.select("lon", "lat")))
     max_lat = max(lat_a, lat_b)
@@ -63,7 +77,7 @@ def nearest(a: DataFrame, b: DataFrame, by: list[str], first_cell_m: float = 10.
     if skip_self:
         done.append(open_set.filter("n > 1").withColumn("distance_m", F.lit(0.0)))
         open_set = open_set.filter("n = 1")
-    cell = first_cell_m
+    cell = uncrowded_cell(targets, by, first_cell_m, growth, max_lat)
     while True:
         cx, cy = metric_cells(cell, max_lat)
         left = touching_cells(open_set.withColumns({"cx": cx, "cy": cy}))

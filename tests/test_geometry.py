@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from landsift.operators import distances as D
 from landsift.operators import districts as DI
 from landsift.operators import grid, regions
 from landsift.operators.sampling import block_split, random_split
+from landsift.session import cut_lineage
 from landsift.sources import tables
 
 BOX = (10.25, 45.5, 10.75, 45.75)  # half a degree by a quarter
@@ -189,3 +191,61 @@ def test_consensus_needs_enough_votes(spark):
     maps = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (None, None, 4), (2, 2, 2)], "a int, b int, c int")
     rows = DI.consensus(maps, ["a", "b", "c"], S.CLASS_IDS, 2).collect()
     assert [r["consensus"] for r in rows] == [1, None, None, 2] and [r["votes"] for r in rows] == [2, 1, 1, 3]
+
+
+def star(n, seed=1):
+    """A jagged outline of n vertices around (10, 20), with a hole."""
+    draw = np.random.default_rng(seed)
+    turn = np.sort(draw.uniform(0, 2 * np.pi, n))
+    far = draw.uniform(0.7, 1.0, n)
+    outer = np.column_stack((10 + far * np.cos(turn), 20 + far * np.sin(turn)))
+    inner = np.array([[9.9, 19.9], [10.1, 19.9], [10.1, 20.1], [9.9, 20.1]])
+    return [np.column_stack((ring, np.roll(ring, -1, 0))) for ring in (outer, inner)]
+
+
+def by_hand(x, y, edges):
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crossed = ((edges[:, 1] > y) != (edges[:, 3] > y)) & (x < (edges[:, 2] - edges[:, 0]) * (y - edges[:, 1]) / (edges[:, 3] - edges[:, 1]) + edges[:, 0])
+    return crossed.sum() % 2 == 1
+
+
+@pytest.mark.parametrize(("edges", "n"), [(np.concatenate(star(100_000)), 112), (np.concatenate(star(60)), 7), (np.array([[0, 0, 4, 0], [4, 0, 4, 4], [4, 4, 0, 4], [0, 4, 0, 0]], float), 4)])
+def test_cells_of_a_cover_decide_like_the_whole_outline(edges, n):
+    cells = {(fx, fy): rest for fx, fy, *rest in regions.cover(edges, n)}
+    assert len(cells) <= n * n and (len(edges) < 1000 or sum(c[0] for c in cells.values()) > 4000)
+    west, south = edges[:, 0].min(), edges[:, 1].min()
+    width, height = (edges[:, 0].max() - west) / n, (edges[:, 1].max() - south) / n
+    draw = np.random.default_rng(5)
+    points = [(west + draw.random() * width * n, south + draw.random() * height * n) for _ in range(1500)]
+    points += [(x, y) for x, y in edges[:100, :2]] + [(west + i * width, south + j * height) for i in range(n + 1) for j in range(min(n, 6))]
+    for x, y in points:
+        cell = cells.get((min(n - 1, int((x - west) // width)), min(n - 1, int((y - south) // height))))
+        found = cell is not None and (cell[0] or (sum([by_hand(x, y, np.array(cell[2]).reshape(-1, 4)), sum(f <= y for f in cell[3]) % 2, cell[1]]) % 2 == 1))
+        assert found == by_hand(x, y, edges)
+    assert max(len(c[2]) for c in cells.values()) < max(10, len(edges) / 50)  # border cells hold what comes near them
+
+
+def test_points_in_a_region_of_many_vertices(spark):
+    rings = star(20_000)
+    regs = spark.createDataFrame([(7, [r[:, :2].tolist() for r in rings])], "district_id long, rings array<array<array<double>>>")
+    draw = np.random.default_rng(8)
+    pts = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(draw.uniform(8.9, 11.1, 3000), draw.uniform(18.9, 21.1, 3000)))]
+    got = {r.pid for r in regions.locate(spark.createDataFrame(pts, "pid long, lon double, lat double"), regs, ["district_id"], 0.5).collect()}
+    assert got == {k for k, x, y in pts if by_hand(x, y, np.concatenate(rings))}
+
+
+def test_crowded_cells_are_made_finer(spark):
+    """Very many positions within one cell of 10 m, and some far away, against brute force on a sample."""
+    n = 200_000
+    crowd = spark.range(n).select(F.lit(1).alias("label"), (F.lit(80.0) + F.rand(3) * 9e-5).alias("lon"), (F.lit(23.0) + F.rand(4) * 9e-5).alias("lat"))
+    crowd = cut_lineage(crowd.unionByName(spark.createDataFrame([(1, 80.01, 23.0), (1, 80.02, 23.0)], "label int, lon double, lat double")))
+    assert D.uncrowded_cell(crowd, ["label"], 10.0, 4, 23.1) < 1
+    found = {(r.lon, r.lat): r.distance_m for r in D.nearest(crowd, crowd, ["label"], skip_self=True).collect()}
+    rows = np.array([(r.lon, r.lat) for r in crowd.select("lon", "lat").collect()])
+    assert len(found) == len(rows)
+    radians = np.radians(rows)
+    for k in [*range(0, n, n // 40), n, n + 1]:
+        half = np.sin((radians[:, 1] - radians[k, 1]) / 2) ** 2 + np.cos(radians[:, 1]) * np.cos(radians[k, 1]) * np.sin((radians[:, 0] - radians[k, 0]) / 2) ** 2
+        half[k] = 9
+        want = 2 * geo.SPHERE_M * np.arcsin(np.sqrt(half.min()))
+        assert abs(found[tuple(rows[k])] - want) < 1e-6 * max(1, want)
