@@ -8,7 +8,7 @@ since no window can cross them. There is no shuffle; memory follows ``shard_byte
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landsift.llm.fmindex import FMIndex
-from landsift.llm.words import ALNUM_LOWER, Words, bounded_batches, pieces, split_words
+from landsift.llm.words import ALNUM_LOWER, Words, bounded_batches, mix, pieces, split_words
 from landsift.session import cut_lineage
 
 ADDED = T.StructType([
@@ -38,6 +38,24 @@ class Phrases:
     vocabulary: pa.Array
     by_length: dict[int, tuple[np.ndarray, list[np.ndarray]]]
     names: list[str | None]
+    hashes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length, in order, and whose they are
+
+    def among(self, windows: np.ndarray) -> np.ndarray:
+        """Which rows of ``windows`` (codes of words) are phrases."""
+        width = windows.shape[1]
+        known = self.by_length[width][0]
+        if width not in self.hashes:
+            hashed = _row_hashes(known)
+            order = np.argsort(hashed)
+            self.hashes[width] = hashed[order], order
+        hashed, order = self.hashes[width]
+        own = _row_hashes(windows)
+        found = np.zeros(len(windows), bool)
+        low, high = np.searchsorted(hashed, own), np.searchsorted(hashed, own, side="right")
+        for step in range(int((high - low).max(initial=0))):
+            live = np.flatnonzero(low + step < high)
+            found[live] |= (known[order[low[live] + step]] == windows[live]).all(1)
+        return found
 
     @staticmethod
     def of(items: list[tuple[str | None, str]], size: int) -> Phrases:
@@ -55,8 +73,61 @@ class Phrases:
         return Phrases(words.distinct, by_length, [name for name, _ in items])
 
 
-def _search(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Which words stand inside an occurrence, and the (text, item) pairs with one."""
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64))
+    return total
+
+
+def _cut_further(code: np.ndarray, gone: np.ndarray, phrases: Phrases) -> np.ndarray:
+    """Which words of a text go if cutting is repeated until no window is left.
+
+    A window that was not there before lies across a cut, so each round looks at the words on both sides of
+    the last cuts only, by links from one word that is left to the next.
+    """
+    n, longest = len(code), max(phrases.by_length, default=0)
+    left = np.flatnonzero(~gone)
+    after, before = np.full(n + 1, n), np.full(n + 1, -1)  # n and -1: the text's ends
+    after[left[:-1]], before[left[1:]] = left[1:], left[:-1]
+    gone = gone.copy()
+    behind = np.flatnonzero(np.diff(left) > 1)
+    cuts = list(zip(left[behind].tolist(), left[behind + 1].tolist(), strict=True))
+    while cuts:
+        windows: dict[int, list[list[int]]] = {}
+        for a, b in cuts:
+            west, east = [], []
+            while a >= 0 and len(west) < longest - 1:
+                west.append(a)
+                a = int(before[a])
+            while b < n and len(east) < longest - 1:
+                east.append(b)
+                b = int(after[b])
+            near = west[::-1] + east
+            for width in phrases.by_length:
+                for i in range(max(0, len(west) - width + 1), min(len(west), len(near) - width + 1)):
+                    windows.setdefault(width, []).append(near[i:i + width])
+        lost = set()
+        for width, places in windows.items():
+            rows = np.array(places)
+            lost.update(rows[phrases.among(code[rows])].ravel().tolist())
+        cuts = []
+        for word in sorted(lost):
+            gone[word] = True
+        for word in sorted(lost):
+            west, east = int(before[word]), int(after[word])
+            if west >= 0:
+                after[west] = east
+            if east < n:
+                before[east] = west
+            if 0 <= west and east < n and not gone[west] and not gone[east]:
+                cuts.append((west, east))
+        cuts = [(a, b) for a, b in cuts if after[a] == b]
+    return gone
+
+
+def _search(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words stand inside an occurrence, the (text, item) pairs with one, and the words' codes (0: foreign to all items)."""
     known = pc.fill_null(pc.index_in(words.distinct, value_set=phrases.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     texts = len(words.first) - 1
     text_of = np.repeat(np.arange(texts), np.diff(words.first))
@@ -75,7 +146,7 @@ def _search(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(owners[w]) for w in seen[:, 1]])
         pairs.append(np.stack((np.repeat(seen[:, 0], sizes), np.concatenate([owners[w] for w in seen[:, 1]])), 1))
     hit = np.cumsum(edge[:-1]) > 0
-    return hit, np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    return hit, np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64), known[words.code] if len(words) else np.zeros(0, np.int64)
 
 
 def _runs(hit: np.ndarray) -> np.ndarray:
@@ -103,7 +174,7 @@ def _shard(texts: pa.Array, phrases: Phrases, alone: bool, found: list[list[int]
     """The added columns of each text. ``alone``: there is no other block, so texts are cut until no window is left.
     ``found`` and ``named``: word ranges and items of earlier blocks."""
     words = split_words(texts, ALNUM_LOWER)
-    hit, pairs = _search(words, phrases)
+    hit, pairs, code = _search(words, phrases)
     for k, ranges in enumerate(found or []):
         for begin, end in zip(ranges[::2], ranges[1::2], strict=True):
             hit[words.first[k] + begin:words.first[k] + end] = True
@@ -118,9 +189,10 @@ def _shard(texts: pa.Array, phrases: Phrases, alone: bool, found: list[list[int]
     runs = {k: _runs(hit[words.first[k]:words.first[k + 1]]) for k in np.flatnonzero(n_hit).tolist()}
     spans = {k: _spans(words, k, r) for k, r in runs.items()}
     clean = {k: _cut(whole[k], s) for k, s in spans.items()}
-    if clean and alone:  # what a cut brings together may be a window again
-        again = _shard(pa.array(list(clean.values()), pa.string()), phrases, alone)
-        clean = {k: row[4] for k, row in zip(clean, again, strict=True)}
+    if alone:  # what a cut brings together may be a window again
+        for k in clean:
+            own = slice(words.first[k], words.first[k + 1])
+            clean[k] = _cut(whole[k], _spans(words, k, _runs(_cut_further(code[own], hit[own], phrases))))
     return [
         (int(counts[k]), int(n_hit[k]), sorted(items.get(k, ())), [{"start": a, "stop": b} for a, b in spans.get(k, [])],
          clean.get(k, whole[k]), runs[k].ravel().tolist() if k in runs else [])
@@ -152,7 +224,8 @@ def decontaminate(
 
     NULL text has no words and stays NULL. An item without words has no windows; one without an id
     makes hits but is not named; items that share an id are one. Repeated rows are searched one by one.
-    Empty tables give empty results. Input columns named like an added one are replaced.
+    Empty tables give empty results. Input columns named like an added one are replaced. A text has no
+    length limit but must fit a task several times over.
 
     The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text (or one item), one pass
     over the documents each; between passes the rows are written to the checkpoint folder. The hits of
