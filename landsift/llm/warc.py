@@ -17,7 +17,7 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
@@ -37,7 +37,7 @@ HEADER = {
     "record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date",
     "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to",
 }
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"  # a list of files for each finished job
 HEAD = 16 << 10
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -96,8 +96,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str, file_bytes: int):
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, overwrite: bool):
+        self.path, self.file_bytes, self.overwrite = path, file_bytes, overwrite
 
     def write(self, iterator: Iterator) -> Written:
         system, folder = _file_system(self.path)
@@ -117,15 +117,31 @@ class WarcWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """List this job's files; a job that overwrites then forgets the lists of those before it, and their files."""
         system, folder = _file_system(self.path)
         system.create_dir(folder, recursive=True)
-        with system.open_output_stream(f"{folder}/{MANIFEST}", compression=None) as out:
+        older = _manifests(system, folder) if self.overwrite else []
+        with system.open_output_stream(f"{folder}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        for path in older:
+            names = _listed(system, path)
+            system.delete_file(path)
+            for name in names:
+                system.delete_file(f"{folder}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         """Without a manifest nothing of the job is read."""
 
 
+def _manifests(system: pafs.FileSystem, folder: str) -> list[str]:
+    return [x.path for x in system.get_file_info(pafs.FileSelector(folder)) if x.base_name.startswith(MANIFEST)]
+
+
+def _listed(system: pafs.FileSystem, path: str) -> list[str]:
+    with system.open_input_stream(path, compression=None) as source:
+        return json.loads(source.read())
+
+
 # ---- Reading ----
 
 
@@ -159,16 +175,16 @@ class WarcReader(DataSourceReader):
         return True
 
     def partitions(self) -> list[Files]:
-        """Whole files, several small ones together; with a manifest, only the files it lists."""
+        """Whole files, several small ones together; with manifests, only the files they list."""
         system, folder = _file_system(self.path)
         info = system.get_file_info(folder)
         if info.type == pafs.FileType.File:
             found = [info]
         else:
             found = [x for x in system.get_file_info(pafs.FileSelector(folder, recursive=True)) if x.base_name.endswith((".warc", ".warc.gz"))]
-            if system.get_file_info(f"{folder}/{MANIFEST}").type == pafs.FileType.File:
-                with system.open_input_stream(f"{folder}/{MANIFEST}", compression=None) as listed:
-                    names = set(json.loads(listed.read()))
+            manifests = _manifests(system, folder)
+            if manifests:
+                names = {name for m in manifests for name in _listed(system, m)}
                 found = [x for x in found if x.base_name in names]
         groups, size = [], 0
         for x in sorted(found, key=lambda x: x.path):
@@ -218,7 +234,7 @@ class WarcReader(DataSourceReader):
             begin, length = at + len(top) + 4, int(headers["content-length"])
             if self.wanted(headers):
                 source.seek(begin)
-                yield self._row(headers, source.read(length))
+                yield self._row(headers, source.read(length) if self.payload else _top(source.read, length))
             at = begin + length + 4
 
     def _zipped(self, source) -> Iterator[tuple]:
@@ -243,7 +259,16 @@ class WarcReader(DataSourceReader):
                 raise ValueError(f"record at byte {at} has no end of header")
             headers = _fields(top)
             keep = self.wanted(headers)
-            if keep or size is None:
+            length = int(headers["content-length"])
+            if keep and not self.payload and size is not None:  # the HTTP header is all that is wanted of the block
+                while b"\r\n\r\n" not in body and len(body) < length and not inflate.eof:
+                    raw = raw or source.read(HEAD)
+                    if not raw:
+                        raise ValueError(f"record at byte {at} is cut off")
+                    body += inflate.decompress(raw, HEAD)
+                    raw = inflate.unconsumed_tail
+                yield self._row(headers, body[:length])
+            elif keep or size is None:
                 parts = [body]
                 while not inflate.eof:
                     raw = raw or source.read(1 << 20)
@@ -254,10 +279,21 @@ class WarcReader(DataSourceReader):
                     if keep:
                         parts.append(out)
                 if keep:
-                    yield self._row(headers, b"".join(parts)[:int(headers["content-length"])])
+                    yield self._row(headers, b"".join(parts)[:length])
             at = at + size if size is not None else source.tell() - len(inflate.unused_data)
 
 
+def _top(read: Callable[[int], bytes], length: int) -> bytes:
+    """A block up to the end of its HTTP header, or what there is of it."""
+    out = b""
+    while b"\r\n\r\n" not in out and len(out) < length:
+        more = read(min(HEAD, length - len(out)))
+        if not more:
+            break
+        out += more
+    return out
+
+
 def _member_size(raw: bytes) -> int | None:
     """The size a gzip member states in its extra field, if it does."""
     if not raw[3] & 4:
@@ -308,7 +344,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("file_bytes", 1 << 30)))
+        return WarcWriter(self.options["path"], int(self.options.get("file_bytes", 256 << 20)), overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
