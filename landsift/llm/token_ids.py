@@ -7,6 +7,7 @@ the document id, and needs no file but these.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,6 +17,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,57 +27,71 @@ from landsift.llm.words import SPACED, SPACED_LOWER, bounded_batches, pieces, sp
 from landsift.session import shared_folder
 
 PIECE = 4 << 20
-KEPT_BYTES = 96 << 20
-ENTRY_BYTES = 200  # what a dictionary entry costs beside its bytes
+KEPT_BYTES = 64 << 20
 JOINED = 512
 
 
 class _Encoder:
-    """A tokenizer and the ids of words it has met; one task's, gone with it."""
+    """A tokenizer and the ids of words it has met, in arrays by a 128-bit hash of the word; one task's, gone with it."""
 
     def __init__(self, json: str, end_id: int, kept_bytes: int = KEPT_BYTES):
         import tokenizers
 
         self.tokenizer, self.end_id = tokenizers.Tokenizer.from_str(json), end_id
-        self.marks = _marks(json)
-        self.kept: dict[bytes, bytes] = {}
-        self.room = kept_bytes
-
-    def _new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word. Many are joined to one text; a token belongs to the word its offset lies in."""
-        found: dict[bytes, bytes] = {}
-        groups = [words[k:k + JOINED] for k in range(0, len(words), JOINED)]
-        for k in range(0, len(groups), 8):
-            some = [[w.decode() for w in group] for group in groups[k:k + 8]]
-            coded = self.tokenizer.encode_batch([" ".join(texts) for texts in some], add_special_tokens=False)
-            for group, texts, one in zip(groups[k:k + 8], some, coded, strict=True):
-                ends = np.cumsum([len(t) + 1 for t in texts])
+        self.joiner = tokenizers.Tokenizer.from_str(_without_space_rule(json))
+        self.marks, self.room = _marks(json), kept_bytes
+        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has. Many words are joined to one text; a token belongs to the word its offset lies in."""
+        chars = pc.utf8_length(words.cast(pa.large_string())).to_numpy().astype(np.int64) + 1
+        spelled, flat, sizes = words.to_pylist(), [], []
+        for k in range(0, len(spelled), JOINED * 8):
+            groups = [(j, b" ".join(spelled[j:j + JOINED]).decode()) for j in range(k, min(k + JOINED * 8, len(spelled)), JOINED)]
+            plain = not any(OTHER_SPACE.search(text) for _, text in groups)
+            coded = (self.joiner if plain else self.tokenizer).encode_batch([text for _, text in groups], add_special_tokens=False)
+            for (j, _), one in zip(groups, coded, strict=True):
                 first = np.fromiter((o[0] for o in one.offsets), np.int64, len(one.ids))
-                flat = np.array(one.ids, np.int32).tobytes()
-                cut = [0, *(4 * np.searchsorted(first, ends)).tolist()]
-                found.update((w, flat[a:b]) for w, a, b in zip(group, cut[:-1], cut[1:], strict=True))
-        return found
+                ends = np.searchsorted(first, np.cumsum(chars[j:j + JOINED]))
+                sizes.append(np.diff(ends, prepend=0))
+                flat.append(np.array(one.ids, np.int32))
+        return np.concatenate(flat or [np.zeros(0, np.int32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
+
+    def _keep(self, high: np.ndarray, low: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Remember words while there is room; those that come first are those that come often."""
+        cost = np.cumsum(32 + 4 * size)
+        n = int(np.searchsorted(cost, self.room, side="right"))
+        self.room -= int(cost[n - 1]) if n else 0
+        order = np.argsort(high[:n], kind="stable")
+        begin = np.concatenate(([0], np.cumsum(size[:n])))[:-1] + len(self.flat)
+        place = np.searchsorted(self.high, high[:n][order])
+        self.high, self.low = np.insert(self.high, place, high[:n][order]), np.insert(self.low, place, low[:n][order])
+        self.at, self.size = np.insert(self.at, place, begin[order]), np.insert(self.size, place, size[:n][order])
+        self.flat = np.concatenate((self.flat, flat[:int(size[:n].sum())]))
 
     def by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and where each begins; a word is encoded once a piece at most, a kept one never again."""
         words = split_words(texts, self._rule(texts))
-        distinct = words.distinct.to_pylist()
-        coded = [self.kept.get(w) for w in distinct]
-        new = self._new_words([w for w, c in zip(distinct, coded, strict=True) if c is None])
-        if self.room > 0:
-            for word, ids in new.items():
-                self.kept[word] = ids
-                self.room -= len(word) + len(ids) + ENTRY_BYTES
-                if self.room <= 0:
-                    break
-        coded = [new[w] if c is None else c for w, c in zip(distinct, coded, strict=True)]
-        coded.append(np.int32(self.end_id).tobytes())
-        at = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+        n = len(words.distinct)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.distinct.to_pylist())), np.uint64).reshape(n, 2)
+        high, low = digests[:, 0], digests[:, 1]
+        place = np.minimum(np.searchsorted(self.high, high), max(len(self.high) - 1, 0))
+        known = (self.high[place] == high) & (self.low[place] == low) if len(self.high) else np.zeros(n, bool)
+        new = np.flatnonzero(~known)
+        flat, size = self._new_words(words.distinct.take(pa.array(new)))
+        both, at, many = np.concatenate((self.flat, flat)), np.empty(n, np.int64), np.empty(n, np.int64)
+        if len(self.high):
+            at[known], many[known] = self.at[place[known]], self.size[place[known]]
+        at[new], many[new] = len(self.flat) + np.concatenate(([0], np.cumsum(size)))[:-1], size
+        offsets = np.concatenate(([0], np.cumsum(many)))
+        own = both[np.arange(offsets[-1]) + np.repeat(at - offsets[:-1], many)]
+        if self.room > 0 and len(new):
+            self._keep(high[new], low[new], flat, size)
         # each text is its words and, as one word more, the end
+        ids = pa.ListArray.from_arrays(pa.array(np.append(offsets, offsets[-1] + 1).astype(np.int32)), pa.array(np.append(own, np.int32(self.end_id))))
         ends = words.first[1:]
-        order = np.insert(words.code.astype(np.int32), ends, len(distinct))
-        taken = ids.take(pa.array(order))
+        taken = ids.take(pa.array(np.insert(words.code.astype(np.int32), ends, n)))
         return taken.values.to_numpy(), taken.offsets.to_numpy()[np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))]
 
     def _rule(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +106,18 @@ class _Encoder:
         return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
 
 
+OTHER_SPACE = re.compile(r"[^\S ]")
+
+
+def _without_space_rule(json: str) -> str:
+    """The tokenizer without the rule that makes one blank of any white space, for texts with single blanks alone."""
+    rules = loads(json)
+    steps = (rules.get("normalizer") or {}).get("normalizers")
+    if steps:
+        rules["normalizer"]["normalizers"] = [s for s in steps if (s.get("type"), s.get("pattern"), s.get("content")) != ("Replace", {"Regex": r"\s+"}, " ")]
+    return dumps(rules)
+
+
 def _marks(json: str) -> list[str] | None:
     """The special tokens of a tokenizer that puts texts in lower case, None for any other."""
     rules = loads(json)
