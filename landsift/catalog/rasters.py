@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +14,12 @@ from landsift import fixtures as fx
 from landsift import schema as S
 from landsift.catalog.base import INDEX_SQL, day, query, round_sql, rounded, unit
 from landsift.functions import spectral as X
-from landsift.operators import areas, grid, quality, regions
+from landsift.operators import areas, grid, pyramid, quality, regions
 from landsift.operators import composite as C
 from landsift.operators import neighborhood as N
+from landsift.session import shared_folder
 from landsift.sources import scenes as SC
+from landsift.sources import sinks, store
 
 INDICES = list(INDEX_SQL)
 ALL_SCENES = ("1990-01-01", "2030-01-01")
@@ -339,11 +344,62 @@ def class_histogram(spark, d):
     return areas.class_histogram(fx.class_map(spark, d))
 
 
-@query("grouped_area", """
-    SELECT classification AS class_id, sum(900e0) AS area_sqm FROM class_map WHERE classification IS NOT NULL GROUP BY classification""",
-    ("class_map",))
+_SCALED = """
+    SELECT {scale} AS scale_m, class_id, count(*) AS cells, sum(seen) * 100e0 AS area_sqm FROM (
+    SELECT CAST(floor(x / {f}) AS BIGINT) AS cx, CAST(floor(y / {f}) AS BIGINT) AS cy, sum(n) AS seen, CAST(arg_max(class_id, n * 100 - class_id) AS INT) AS class_id FROM (
+    SELECT CAST(floor(x / {f}) AS BIGINT) * {f} AS x, CAST(floor(y / {f}) AS BIGINT) * {f} AS y, classification AS class_id, count(*) AS n
+    FROM class_map WHERE classification IS NOT NULL GROUP BY ALL) a GROUP BY ALL) b GROUP BY class_id"""
+
+
+@query("grouped_area", f"SELECT class_id, area_sqm FROM ({_SCALED.format(scale=30, f=3)}) s", ("class_map",))
 def grouped_area(spark, d):
-    return areas.grouped_area(fx.class_map(spark, d), 30.0)
+    return areas.grouped_area(fx.class_map(spark, d), 30)
+
+
+@query("area_by_scale", " UNION ALL ".join(_SCALED.format(scale=s, f=s // 10) for s in pyramid.SCALES_M), ("class_map",))
+def area_by_scale(spark, d):
+    return pyramid.area_by_scale(fx.class_map(spark, d))
+
+
+@query("bands_at_30_m", """
+    SELECT CAST(floor(x / 3) AS BIGINT) AS x, CAST(floor(y / 3) AS BIGINT) AS y, round(avg(B4) + 1e-9, 6) AS B4, round(avg(B8) + 1e-9, 6) AS B8, round(count(*) / 9e0, 6) AS seen
+    FROM composite GROUP BY ALL""", ("composite",))
+def bands_at_30_m(spark, d):
+    coarse = pyramid.coarser_bands(C.median_composite(_optical(spark, d), ["B4", "B8"]), ["B4", "B8"], 3)
+    # a mean that lies halfway between two roundings goes up on both sides
+    return rounded(coarse.withColumns({b: F.col(b) + 1e-9 for b in ("B4", "B8")}), ["B4", "B8", "seen"])
+
+
+@query("area_table_written", f"""
+    SELECT c.class_id, c.name, CAST(coalesce(s.cells, 0) AS BIGINT) AS cells, coalesce(s.area_sqm, 0e0) AS area_sqm FROM classes c LEFT JOIN ({_SCALED.format(scale=100, f=10)}) s USING (class_id)""",
+    ("classes", "class_map"))
+def area_table_written(spark, d):
+    """The area export at 100 m, written as CSV and read back."""
+    path = f"{shared_folder(spark)}/areas-{uuid.uuid4().hex}"
+    sinks.write_csv(pyramid.area_table(fx.class_map(spark, d), 100), path)
+    return spark.read.schema("class_id int, name string, cells long, area_sqm double").csv(path, header=True)
+
+
+@query("observations_from_store", f"""
+    SELECT scene_id, x, y, B4 FROM observations JOIN scenes USING (scene_id) WHERE sensor = 'S2' AND x BETWEEN 10 AND 25 AND y BETWEEN 1 AND 9
+    AND ts >= '{fx.WINDOW[0]}' AND ts < '{fx.WINDOW[1]}' AND cloud_pct < 60""", ("observations", "scenes"))
+def observations_from_store(spark, d):
+    """A small area and window read from an archive in tile order."""
+    scenes, path = fx.scenes(spark, d), f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    store.write_observations(fx.observations(spark, d), scenes, path, tile=8)
+    seen = store.pruned(store.read_observations(spark, path).filter("sensor = 'S2'"), (10, 1, 25, 9), [fx.WINDOW])
+    return SC.observations_of(seen, SC.optical_scenes(scenes, *fx.WINDOW, cloud=60), ["B4"])
+
+
+@query("result_written_once", """
+    SELECT x, y, classification, 1 AS results FROM class_map""", ("class_map",))
+def result_written_once(spark, d):
+    """Two writers of one content key, side by side; what a reader finds."""
+    root = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
+    image = fx.class_map(spark, d)
+    with ThreadPoolExecutor(2) as pool:
+        paths = set(pool.map(inheritable_thread_target(spark)(lambda _: sinks.write_once(image, root, "result")), range(2)))
+    return spark.read.parquet(*sorted(paths)).withColumn("results", F.lit(len(paths)))
 
 
 _AREAS = """
@@ -377,19 +433,22 @@ def dominant_class(spark, d):
     return areas.dominant_class(areas.class_area_table(fx.class_map(spark, d)))
 
 
-@query("area_report", """
-    SELECT 'Feature' AS kind, 'Polygon' AS shape, 'gtb' AS model, count(classification) AS total_pixels, 5 AS areas FROM class_map""",
-    ("class_map",))
+@query("area_report", f"""
+    SELECT 'Feature' AS kind, 'Polygon' AS shape, 'gtb' AS model, (SELECT count(classification) FROM class_map) AS total_pixels,
+    class_id, name, pixel_count, area_ha, percentage FROM ({_AREAS.format(where="")}) a""", ("classes", "class_map"))
 def area_report(spark, d):
+    """The report as it is written to a file, with every area row of it."""
     image = fx.class_map(spark, d)
     geometry = '{"type":"Polygon","coordinates":[[[79.1,22.9],[79.7,22.85],[79.9,23.3],[79.3,23.5],[79.1,22.9]]]}'
-    report = areas.geojson_report(geometry, "gtb", areas.area_summary(image), areas.class_area_table(image))
-    return report.select(
-        F.get_json_object("value", "$.type").alias("kind"), F.get_json_object("value", "$.geometry.type").alias("shape"),
-        F.get_json_object("value", "$.properties.model.id").alias("model"),
-        F.get_json_object("value", "$.properties.summary.total_pixels").cast("long").alias("total_pixels"),
-        F.json_array_length(F.get_json_object("value", "$.properties.individual_class_areas")).alias("areas"),
-    )
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    sinks.write_report(areas.geojson_report(geometry, "gtb", areas.area_summary(image), areas.class_area_table(image)), path)
+    field = lambda at: F.get_json_object("value", at)
+    rows = "array<struct<class_id: int, name: string, pixel_count: long, area_ha: double, percentage: double>>"
+    return spark.read.text(path).select(
+        field("$.type").alias("kind"), field("$.geometry.type").alias("shape"), field("$.properties.model.id").alias("model"),
+        field("$.properties.summary.total_pixels").cast("long").alias("total_pixels"),
+        F.explode(F.from_json(field("$.properties.individual_class_areas"), rows)).alias("a"),
+    ).select("kind", "shape", "model", "total_pixels", "a.*")
 
 
 @query("raster_tiles", """

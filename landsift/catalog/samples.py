@@ -193,9 +193,17 @@ def matrix_as_text(spark, d):
     return metrics.matrix_rows(matrix).select("confusion_matrix")
 
 
-@query("matrix_is_square", "SELECT 5 AS rows, 5 AS cols, 25 AS cells, count(*) > 0 AS is_square FROM predictions", ("predictions",))
+@query("matrix_is_square", """
+    SELECT fixed, r AS rows, c AS cols, n AS cells, r = 5 AND c = 5 AND n = 25 AS is_square FROM (
+    SELECT false AS fixed, count(DISTINCT label) AS r, count(DISTINCT classification) AS c, count(*) AS n FROM (
+        SELECT DISTINCT label, classification FROM predictions WHERE label <> 2 AND classification <> 4) a
+    UNION ALL SELECT true, count(DISTINCT a.class_id), count(DISTINCT b.class_id), count(*) FROM classes a CROSS JOIN classes b
+        WHERE (SELECT count(*) FROM predictions WHERE label <> 2 AND classification <> 4) > 0) s""", ("classes", "predictions"))
 def matrix_is_square(spark, d):
-    return metrics.matrix_is_square(metrics.confusion_matrix(fx.predictions(spark, d), S.CLASS_IDS), len(S.CLASSES))
+    """A class without rows: the matrix as counted has no place for it, the one over all classes has."""
+    rows = fx.predictions(spark, d).filter("label <> 2 AND classification <> 4")
+    shapes = [metrics.matrix_is_square(metrics.confusion_matrix(rows, classes), len(S.CLASSES)).withColumn("fixed", F.lit(classes is not None)) for classes in (None, S.CLASS_IDS)]
+    return shapes[0].unionByName(shapes[1])
 
 
 @query("matrix_shares", f"""

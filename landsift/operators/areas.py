@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from landsift import schema as S
 from landsift.functions import keys as K
+from landsift.operators import pyramid
 
 
 def class_histogram(classified: DataFrame) -> DataFrame:
@@ -15,10 +16,9 @@ def class_histogram(classified: DataFrame) -> DataFrame:
     return classified.filter("classification IS NOT NULL").groupBy("classification").agg(F.count("*").alias("pixel_count"))
 
 
-def grouped_area(classified: DataFrame, scale_m: float = 10.0) -> DataFrame:
-    """Summed pixel area per class at the given pixel size."""
-    with_area = classified.filter("classification IS NOT NULL").withColumn("pixel_area", F.lit(scale_m * scale_m))
-    return with_area.groupBy(F.col("classification").alias("class_id")).agg(F.sum("pixel_area").alias("area_sqm"))
+def grouped_area(classified: DataFrame, scale_m: int = 10, base_m: int = 10) -> DataFrame:
+    """Summed area per class at the given pixel size, each coarser pixel going to its majority class."""
+    return pyramid.area_by_scale(classified, [scale_m], base_m).select("class_id", "area_sqm")
 
 
 def class_area_table(classified: DataFrame) -> DataFrame:
