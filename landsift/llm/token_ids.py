@@ -29,6 +29,10 @@ from landsift.session import shared_folder
 PIECE = 4 << 20
 KEPT_BYTES = 64 << 20
 JOINED = 512
+TASK_BYTES = 64 << 20
+# Fixed value: a pattern by which a tokenizer takes letters, digits and other marks apart.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = b".,;:!?"
 
 
 class _Encoder:
@@ -40,6 +44,7 @@ class _Encoder:
         self.tokenizer, self.end_id = tokenizers.Tokenizer.from_str(json), end_id
         self.joiner = tokenizers.Tokenizer.from_str(_without_space_rule(json))
         self.marks, self.room = _marks(json), kept_bytes
+        self.ended = self._new_words(pa.array([MARKS[k:k + 1] for k in range(len(MARKS))], pa.large_binary())) if _takes_apart(json) else None
         self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -73,13 +78,14 @@ class _Encoder:
     def by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and where each begins; a word is encoded once a piece at most, a kept one never again."""
         words = split_words(texts, self._rule(texts))
-        n = len(words.distinct)
-        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.distinct.to_pylist())), np.uint64).reshape(n, 2)
+        spelled, code, mark = self._without_marks(words.distinct)
+        n = len(spelled)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, spelled.to_pylist())), np.uint64).reshape(n, 2)
         high, low = digests[:, 0], digests[:, 1]
         place = np.minimum(np.searchsorted(self.high, high), max(len(self.high) - 1, 0))
         known = (self.high[place] == high) & (self.low[place] == low) if len(self.high) else np.zeros(n, bool)
         new = np.flatnonzero(~known)
-        flat, size = self._new_words(words.distinct.take(pa.array(new)))
+        flat, size = self._new_words(spelled.take(pa.array(new)))
         both, at, many = np.concatenate((self.flat, flat)), np.empty(n, np.int64), np.empty(n, np.int64)
         if len(self.high):
             at[known], many[known] = self.at[place[known]], self.size[place[known]]
@@ -88,12 +94,33 @@ class _Encoder:
         own = both[np.arange(offsets[-1]) + np.repeat(at - offsets[:-1], many)]
         if self.room > 0 and len(new):
             self._keep(high[new], low[new], flat, size)
-        # each text is its words and, as one word more, the end
-        ids = pa.ListArray.from_arrays(pa.array(np.append(offsets, offsets[-1] + 1).astype(np.int32)), pa.array(np.append(own, np.int32(self.end_id))))
-        ends = words.first[1:]
-        taken = ids.take(pa.array(np.insert(words.code.astype(np.int32), ends, n)))
+        # each text is its words, each with its mark, and the end; marks and the end are numbered behind the words
+        flat, size = self.ended or (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        behind = np.concatenate((offsets, offsets[-1] + np.cumsum(size), [offsets[-1] + len(flat) + 1]))
+        ids = pa.ListArray.from_arrays(pa.array(behind.astype(np.int32)), pa.array(np.concatenate((own, flat, [self.end_id])).astype(np.int32)))
+        order, marked = code[words.code], mark[words.code]
+        at = np.flatnonzero(marked >= 0)
+        order = np.insert(order, at + 1, n + marked[at])
+        ends = words.first[1:] + np.searchsorted(at, words.first[1:])
+        order = np.insert(order, ends, n + len(size))
+        taken = ids.take(pa.array(order))
         return taken.values.to_numpy(), taken.offsets.to_numpy()[np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))]
 
+    def _without_marks(self, distinct: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words without the mark that ends them behind a letter A-Z, which the tokenizer takes apart; each word's place there, and its mark or -1."""
+        n = len(distinct)
+        if self.ended is None or not n:
+            return distinct, np.arange(n, dtype=np.int64), np.full(n, -1)
+        ends = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset:distinct.offset + n + 1]
+        data = np.frombuffer(distinct.buffers()[2], np.uint8)
+        long = np.diff(ends) > 1
+        last, before = data[ends[1:] - 1], data[np.maximum(ends[1:] - 2, 0)] | 0x20
+        which = np.full(256, -1)
+        which[list(MARKS)] = np.arange(len(MARKS))
+        mark = np.where(long & (before >= 97) & (before <= 122), which[last], -1)
+        bare = pc.if_else(pa.array(mark >= 0), pc.binary_slice(distinct, 0, -1), distinct).dictionary_encode()
+        return bare.dictionary, bare.indices.to_numpy(zero_copy_only=False).astype(np.int64), mark
+
     def _rule(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Fold A-Z if the tokenizer does so too, and no text holds what might become a special token of it."""
         if self.marks is None or any(pc.any(pc.match_substring(texts, m, ignore_case=True)).as_py() for m in self.marks):
@@ -118,6 +145,13 @@ def _without_space_rule(json: str) -> str:
     return dumps(rules)
 
 
+def _takes_apart(json: str) -> bool:
+    """Does the tokenizer make a piece of its own of a mark behind a letter?"""
+    steps = (loads(json).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first = steps[0]
+    return (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": APART}, "Removed", True)
+
+
 def _marks(json: str) -> list[str] | None:
     """The special tokens of a tokenizer that puts texts in lower case, None for any other."""
     rules = loads(json)
@@ -143,7 +177,7 @@ def _encoder(shared: Broadcast, end_id: int, words_apart: bool) -> Callable[[Ite
 
 def write_ids(
     docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 1, ident: str = "doc_id", text: str = "text",
-    words_apart: bool = False, stripe_bytes: int = 16 << 20, index_rows: int = 2_000,
+    words_apart: bool = False, stripe_bytes: int = 16 << 20, index_rows: int = 2_000, task_bytes: int = TASK_BYTES,
 ) -> str:
     """Encode every whole text and write ``doc_id``, ``row`` (ascending with the id), ``n_ids`` and ``ids``; gives the folder.
 
@@ -151,7 +185,7 @@ def write_ids(
     that it drops white space, so that words may be encoded one by one: set it only for such a
     tokenizer. NULL text is empty and has the end id alone. NULL ids come first; rows that share an id
     stay apart and keep some order; an empty table makes a folder without rows. Other columns are not read,
-    so they may have any name. A text has no length limit but must fit a task several times over, with its ids.
+    so they may have any name. A task takes ``task_bytes`` of text: the more, the less often a word is encoded anew. A text has no length limit but must fit a task several times over, with its ids.
     What a task keeps of words is bounded by ``KEPT_BYTES`` and ends with the task.
     """
     spark = docs.sparkSession
@@ -160,7 +194,8 @@ def write_ids(
     shared = spark.sparkContext.broadcast(Path(tokenizer).read_text())
     framed = docs.select(F.col(ident).alias("i"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("salt"))
     order = [F.col("i").asc_nulls_first(), F.col("salt")]
-    dealt = framed.repartitionByRange(*order).sortWithinPartitions(*order).select("i", "t")
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    dealt = framed.repartitionByRange(max(1, -(-size // task_bytes)), *order).sortWithinPartitions(*order).select("i", "t")
     schema = T.StructType([framed.schema["i"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     coded = dealt.mapInArrow(_encoder(shared, end_id, words_apart), schema)
     rows = coded.select(F.col("i").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.size("ids").cast("long").alias("n_ids"), "ids")
